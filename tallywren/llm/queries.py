@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, simhash
+from . import decontaminate, line_dedup, mixing, simhash, toxicity
 
 QUERIES = {
+    "op4_source_mixing": mixing.query,
+    "op5_toxicity": toxicity.query,
     "op7_simhash_near_dedup": simhash.query,
     "op8_line_dedup": line_dedup.query,
     "op10_benchmark_decontamination": decontaminate.query,
 }
 
 ORACLE_SQL = {
+    "op4_source_mixing": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
 }
