@@ -152,7 +152,7 @@ def _split(text: bytes, lost) -> tuple[list[bytes], int]:
     return [x for x in lines if (k := line_key(x)) is None or _as_hex_pair(line_hash(k)) not in gone], len(lines)
 
 
-def dedup_lines(docs: DataFrame, batches: int = BATCHES, drop_empty: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, batches: int = BATCHES, drop_empty: bool = False) -> DataFrame:
     """``docs`` with the lines gone that an earlier document owns. With ``drop_empty`` a document of
     which no word stays goes, if it lost lines; untouched texts stay byte for byte."""
     columns = docs.columns
