@@ -3,7 +3,7 @@
 Templates are grouped by length; a group's windows are twice as long as its longest template
 and overlap by half, so that every place of a template lies wholly inside some window. Window and
 template are compared by MinHash over word shingles with bands of one row: a window that holds the share ``CONTAINMENT`` of
-a template's ``m`` shingles among its own ``k`` has a similarity of ``CONTAINMENT * m / k`` or more,
+a template's ``m`` shingles among its own ``k`` has a similarity near ``CONTAINMENT * m / k`` or more,
 and ``bands_for`` takes as many bands as make a common value at least ``RECALL`` likely.
 Windows that share a value with a template are verified by exact containment of its shingles.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import alnum_words, as_bytes, cut
 
-SHINGLE, CONTAINMENT, RECALL, GROWTH = 5, 0.8, 0.999, 1.5
+SHINGLE, CONTAINMENT, RECALL, GROWTH = 5, 0.8, 0.999, 1.15
 
 # Notices of common public licenses.
 TEMPLATES = {
@@ -67,6 +67,9 @@ def bands_for(similarity: float, recall: float = RECALL) -> int:
     return 1 if similarity >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - similarity))
 
 
+PIECE = 8192  # shingles hashed at once
+
+
 class Group:
     """Templates of like length, their windows, and their MinHash values."""
 
@@ -77,9 +80,9 @@ class Group:
         self.sizes = [len(w) for _, w in templates]
         shingles = [scanner.shingles(w) for _, w in templates]
         self.sets = [set(map(int, s)) for s in shingles]
-        least = min(len(s) for s in self.sets)
-        self.bands = bands_for(CONTAINMENT * least / max(1, self.window - SHINGLE + 1))
-        self.low = np.stack([scanner.minhash(s, self.bands).min(axis=0) for s in shingles])
+        least = min(math.ceil(CONTAINMENT * len(s)) for s in self.sets)
+        self.bands = bands_for(least / (2 * self.stride))
+        self.low = np.stack([scanner.minhash(s, self.bands).min(axis=1) for s in shingles])
 
 
 class Scanner:
@@ -116,7 +119,7 @@ class Scanner:
         return out ^ (out >> np.uint64(33))
 
     def minhash(self, shingles: np.ndarray, bands: int) -> np.ndarray:
-        return shingles[:, None] * self.multiply[:bands] + self.add[:bands]
+        return self.multiply[:bands, None] * shingles + self.add[:bands, None]
 
     def scan(self, words: list[bytes]) -> dict[str, tuple[float, int]]:
         """The containment of each license found, and the word at which its best window begins."""
@@ -125,23 +128,22 @@ class Scanner:
             return found
         shingles = self.shingles(words)
         most = max(g.bands for g in self.groups)
-        hashed = [self.minhash(shingles[a : a + 8192], most) for a in range(0, len(shingles), 8192)]
+        hashed = [self.minhash(shingles[a : a + PIECE], most) for a in range(0, len(shingles), PIECE)]
         for g in self.groups:
-            span = max(1, g.window - SHINGLE + 1)
             step = g.stride
             starts = np.arange(0, len(shingles), step)
             if len(hashed) == 1:
-                blocks = np.minimum.reduceat(hashed[0][:, : g.bands], starts, axis=0)
+                blocks = np.minimum.reduceat(hashed[0][: g.bands], starts, axis=1)
             else:
-                blocks = np.full((len(starts), g.bands), np.iinfo(np.uint64).max, np.uint64)
+                blocks = np.full((g.bands, len(starts)), np.iinfo(np.uint64).max, np.uint64)
                 for i, part in enumerate(hashed):
-                    at = np.unique(np.concatenate([[0], starts[(starts >= i * 8192) & (starts < i * 8192 + len(part))] - i * 8192])).astype(int)
-                    low = np.minimum.reduceat(part[:, : g.bands], at, axis=0)
-                    to = (at + i * 8192) // step
-                    blocks[to] = np.minimum(blocks[to], low)
-            lows = np.minimum(blocks, np.vstack([blocks[1:], blocks[-1:]])) if span > step else blocks
+                    first = i * PIECE
+                    at = np.unique(np.concatenate([[0], starts[(starts >= first) & (starts < first + part.shape[1])] - first])).astype(int)
+                    to = (at + first) // step
+                    blocks[:, to] = np.minimum(blocks[:, to], np.minimum.reduceat(part[: g.bands], at, axis=1))
+            lows = np.minimum(blocks, np.hstack([blocks[:, 1:], blocks[:, -1:]]))
             for t, name in enumerate(g.ids):
-                for w in np.flatnonzero((lows == g.low[t]).any(axis=1)):
+                for w in np.flatnonzero((lows == g.low[t][:, None]).any(axis=0)):
                     a = int(starts[w])
                     have = g.sets[t].intersection(shingles[a : a + 2 * step].tolist())
                     share = len(have) / len(g.sets[t])
