@@ -17,6 +17,7 @@ def get_session(app: str = "tallywren", cores: str | None = None, shuffle_partit
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
         .config("spark.driver.memory", os.environ.get("TALLYWREN_DRIVER_MEMORY", "8g"))
     )
