@@ -5,8 +5,8 @@ where the url's path begins with the rule's. The longest fitting rule decides. W
 fits, the method decides: names are split into words by a unigram Viterbi search, and
 multinomial naive Bayes scores the words of host and path.
 
-Unigram model: counts of the letter runs in hosts and paths of all pages, with a list of
-fixed words. Classes are learned from the pages themselves: a page whose segmented words
+Unigram model: counts of the letter runs in paths and hyphenated host labels of all pages, with a
+list of fixed words. Classes are learned from the pages themselves: a page whose segmented words
 hold a seed word teaches ``block``, any other teaches ``allow``; words that the rules name are no
 features, so that the method doesn't restate them. Both models keep the words of a share of at
 least ``MIN_SHARE`` of all word places, which bounds what is broadcast at ``1 / MIN_SHARE`` words
@@ -98,8 +98,10 @@ class Segmenter:
 
 
 def name_counts(pages: DataFrame, min_share: float = MIN_SHARE) -> dict[str, int]:
-    """How often each letter run occurs in hosts and paths, of those with at least the share."""
-    runs = pages.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit(r"(\p{L}+)"))).alias("w")).groupBy("w").count()
+    """How often each letter run occurs in paths and in host labels with hyphens, of those with at
+    least the share. A label without hyphens may be several words, so it teaches none."""
+    parted = F.concat_ws("/", F.filter(F.split("host", r"\."), lambda x: x.contains("-")))
+    runs = pages.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws("/", parted, "path")), F.lit(r"(\p{L}+)"))).alias("w")).groupBy("w").count()
     total = runs.agg(F.sum("count")).first()[0] or 0
     counts = Counter({r.w: r["count"] for r in runs.where(F.col("count") >= total * min_share).collect()})
     counts.update({w: COMMON_COUNT for w in {*COMMON, *SEEDS}})
