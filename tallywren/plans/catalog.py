@@ -99,7 +99,7 @@ from orders
 CSV_SQL = f"""
 with lines as ({CSV_LINES}), cells as (select line, list_transform(string_split(text, ','), lambda x: trim(x)) as c from lines),
 parsed as (select line, c[1] as external_id, case when regexp_matches(c[2], '^[+-]?[0-9]+$') then c[2]::bigint end as amount_minor, upper(c[3]) as currency, try_cast(c[4] as date) as d, c[5] as reference from cells)
-select line::bigint as line, external_id, amount_minor, currency, epoch(d)::bigint as value_epoch, reference, case when external_id = '' then 'no external_id' when amount_minor is null then 'amount_minor is not an exact integer'
+select line::bigint as line, external_id, coalesce(amount_minor::varchar, '') as amount_minor, currency, coalesce(epoch(d)::bigint::varchar, '') as value_epoch, reference, case when external_id = '' then 'no external_id' when amount_minor is null then 'amount_minor is not an exact integer'
   when d is null then 'value_date is not a date' when length(currency) <> 3 then 'currency is not a three-letter code' end as reject_reason from parsed
 """
 
@@ -109,7 +109,8 @@ def csv_accept_reject(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     lines = spark.sql(CSV_LINES.replace("from orders", "from {orders}"), orders=orders)
     parsed = csv_ledger.parse_lines(lines, CSV_HEADER, "BANK_STATEMENT")
-    return parsed.select(F.col("line").cast("long").alias("line"), "external_id", "amount_minor", "currency", F.unix_seconds("value_date").alias("value_epoch"), "reference", "reject_reason")
+    text = lambda c, name: F.coalesce(c.cast("string"), F.lit("")).alias(name)
+    return parsed.select(F.col("line").cast("long").alias("line"), "external_id", text(F.col("amount_minor"), "amount_minor"), "currency", text(F.unix_seconds("value_date"), "value_epoch"), "reference", "reject_reason")
 
 
 @query("dedup_mark", o.q(o.RECORDS, "select id, kind, external_id, duplicate_of_id from rec"))
