@@ -109,8 +109,9 @@ class Scanner:
         known = self.known
         if len(known) > self.MEMORY:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = min(SHINGLE, len(words))
         out = np.zeros(len(words) - n + 1, np.uint64)
