@@ -13,9 +13,10 @@ Equal word sequences count as one text before candidates are sought. A bucket of
     partner among them and leaves.
  2. Each bucket's most central text (in the most large buckets) is compared with all its
     members.
- 3. Texts that found no link so meet all others with which they share a shingle of their
-    rare-first prefix, of the length that any pair of similarity 0.8 must share.
-That is exact for them, and without pairs of all with all.
+ 3. A text that found no link so meets all others of its buckets, block by block, in tasks that
+    count overlaps through sorted shingles and emit no more links than join their groups.
+Texts linked in step 2 meet in their bucket's centre, so only they may lack a link to one another
+that also would join two groups.
 
 Defined cases: texts without words are copies of each other, as are texts of equal words;
 a text of fewer words than a shingle is one shingle; rows without a doc_id stay; rows
@@ -31,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -40,6 +40,7 @@ from .common import as_bytes, blank_words, cut
 from .simhash import CELL, fingerprint, links, shingle_hashes
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 5
+BLOCK_BYTES = 4 << 20
 _RNG = np.random.default_rng(2024)
 MULTIPLY = _RNG.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -111,41 +112,84 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
 
 
 def _exploded(sets: DataFrame) -> DataFrame:
-    """``(rep, n, shingle)``."""
+    """``(rep, shingle)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut(batches):
             for rep, packed in zip(batch["rep"].to_pylist(), batch["shingles"].to_pylist()):
                 own = np.frombuffer(packed, np.int64)
-                n = len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rep)), pa.array(np.full(n, n)), pa.array(own)], ["rep", "n", "shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), rep)), pa.array(own)], ["rep", "shingle"])
 
-    return sets.mapInArrow(run, "rep long, n long, shingle long")
+    return sets.select("rep", "shingles").mapInArrow(run, "rep long, shingle long")
 
 
 def dense_links(large: DataFrame, docs: DataFrame) -> DataFrame:
     """Links ``(src, dst)`` among the texts of large buckets ``(band, value, rep)``."""
     sets = materialize(shingle_sets(docs, large.select("rep").distinct()), "sets")
-    alive = _exploded(sets)
+    able = sets
     for _ in range(2):
-        df = alive.groupBy("shingle").agg(F.count("*").alias("df"))
-        rated = alive.select("rep", "n", "shingle").join(df, "shingle")
-        able = rated.groupBy("rep").agg(F.sum((F.col("df") == 1).cast("long")).alias("own"), F.first("n").alias("n")).where(F.col("n") - F.col("own") >= SIMILARITY * F.col("n"))
-        alive = materialize(rated.join(able.select("rep"), "rep", "left_semi").select("rep", "n", "shingle", "df"), "alive")
-    ids = alive.select("rep").distinct()
-    members = large.join(ids, "rep")
+        # A shingle of one holder is a group of one row; its holder is that row's.
+        single = _exploded(able).groupBy("shingle").agg(F.count("*").alias("df"), F.first("rep").alias("rep")).where("df = 1")
+        own = single.groupBy("rep").agg(F.count("*").alias("own"))
+        n = F.octet_length("shingles") / 8
+        able = materialize(able.join(own, "rep", "left").where(n - F.coalesce("own", F.lit(0)) >= SIMILARITY * n).select("rep", "shingles"), "able")
+    members = large.join(able.select("rep"), "rep")
     seen = members.groupBy("rep").agg(F.count("*").alias("in"))
     ranked = members.join(seen, "rep")
     heads = ranked.groupBy("band", "value").agg(F.min(F.struct(-F.col("in"), F.col("rep")))["rep"].alias("head"))
     spokes = ranked.join(heads, ["band", "value"]).where("rep <> head").select(F.least("rep", "head").alias("src"), F.greatest("rep", "head").alias("dst")).distinct()
     found = materialize(verified(spokes, sets), "spokes")
     linked = found.select(F.col("src").alias("rep")).union(found.select("dst")).distinct()
-    rare = W.partitionBy("rep").orderBy("df", "shingle")
-    prefix = alive.withColumn("rank", F.row_number().over(rare)).where(F.col("rank") <= F.col("n") - F.ceil(SIMILARITY * F.col("n")) + 1)
-    alone = prefix.join(linked, "rep", "left_anti").select(F.col("rep").alias("src"), "shingle")
-    rest = alone.join(prefix.where("df > 1").select(F.col("rep").alias("dst"), "shingle"), "shingle").where("src <> dst")
-    rest = rest.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    return found.union(verified(rest, sets))
+    alone = materialize(able.join(linked, "rep", "left_anti"), "alone")
+    return found.union(block_links(members, alone, able))
+
+
+def block_links(members: DataFrame, alone: DataFrame, able: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
+    """Links between ``alone`` and ``able`` texts of each bucket, as many as join the same groups.
+
+    Both sides of a bucket are dealt into blocks of about ``limit`` bytes and each block of one meets each of
+    the other in a task of its own, which emits a link only if it joins two of its groups.
+    """
+    left, right = members.select("band", "value", "rep").join(alone, "rep"), members.select("band", "value", "rep").join(able, "rep")
+    blocks = lambda df, name: df.groupBy("band", "value").agg(F.ceil(F.sum(F.octet_length("shingles")) / limit).cast("int").alias(name))
+    dealt = blocks(left, "rows").join(blocks(right, "cols"), ["band", "value"])
+    own = lambda df, n, salt: df.withColumn(f"own_{n}", F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int"))
+    a = own(left.join(dealt, ["band", "value"]), "rows", 1).select("band", "value", F.col("own_rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), "rep", "shingles")
+    b = own(right.join(dealt, ["band", "value"]), "cols", 2).select("band", "value", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.col("own_cols").alias("col"), "rep", "shingles")
+    key = ["band", "value", "row", "col"]
+    # Both sides come from the same members; new column ids keep Spark from taking one for the other.
+    a, b = (x.select(*(F.col(c).alias(c) for c in [*key, "rep", "shingles"])) for x in (a, b))
+    return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(_meet, "src long, dst long").distinct()
+
+
+def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Overlaps of every right set with all left ones through one sorted list of the left's shingles."""
+    ids = left["rep"].to_pylist()
+    sets = [np.frombuffer(x, np.uint64) for x in left["shingles"].to_pylist()]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    group: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while group.setdefault(x, x) != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    out = []
+    for rep, packed in zip(right["rep"].to_pylist(), right["shingles"].to_pylist()):
+        own = np.frombuffer(packed, np.uint64)
+        low, high = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        for i in np.flatnonzero((both > 0) & (both >= SIMILARITY * (sizes + len(own) - both))):
+            x, y = root(ids[i]), root(rep)
+            if x != y:
+                group[max(x, y)] = min(x, y)
+                out.append((min(ids[i], rep), max(ids[i], rep)))
+    return pa.table({"src": pa.array([x for x, _ in out], pa.int64()), "dst": pa.array([y for _, y in out], pa.int64())})
 
 
 def similar_links(sig: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
