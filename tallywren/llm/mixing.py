@@ -112,10 +112,10 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     return ranked.select("slot", "pos", "rank").union(missing.select("slot", "pos", "rank"))
 
 
-def laid_out(sizes: DataFrame, sources: DataFrame, seed: int = SEED, rows: int = 5000) -> DataFrame:
-    """Documents in shuffled order with ``start``, the words of the source before them."""
-    n = max(1, sizes.count())
-    digits = max(1, math.ceil(math.log(max(1, n / rows), 16)))
+def laid_out(sizes: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
+    """Documents in shuffled order with ``start``, the words of the source before them. There are about as
+    many hash ranges as rows in one, so that neither level's sums are long."""
+    digits = max(1, math.ceil(math.log(max(1, sizes.count()), 16) / 2))
     keyed = (
         sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
         .select("d.doc_id", "d.size", "s.pos", "s.source_size", "s.target", "s.quota")
