@@ -51,10 +51,13 @@ def candidate_pairs(records: DataFrame, options: MatchOptions = MatchOptions())
     """
     keys = blocking_keys(records.select(*SIDES), options).select("ord", "id", "kind", "currency", "pos", "key")
     kept = block_stats(keys).where(F.col("n").between(2, options.block_cap)).select("key", "rank")
-    member = keys.join(kept, "key").select("key", "rank", "ord", "id", "kind", "currency")
-    left = member.toDF("key", "rank", "ord_l", "id_l", "kind_l", "currency")
-    right = member.drop("rank").toDF("key", "ord_r", "id_r", "kind_r", "currency_r")
-    joined = left.join(right, "key").where("ord_l < ord_r and kind_l <> kind_r and currency = currency_r")
+    # Grouping by the key that the join was dealt by moves nothing; a group holds at most ``block_cap`` members.
+    member = F.struct("ord", "id", "kind", "currency")
+    blocks = keys.join(kept, "key").groupBy("key", "rank").agg(F.array_sort(F.collect_list(member)).alias("m"))
+    left = blocks.select("key", "rank", "m", F.posexplode("m").alias("at", "l")).where(F.col("at") < F.size("m") - 1)
+    both = left.select("key", "rank", "l", F.explode(F.slice("m", F.col("at") + 2, F.size("m"))).alias("r"))
+    gates = (F.col("l.ord") < F.col("r.ord")) & (F.col("l.kind") != F.col("r.kind")) & (F.col("l.currency") == F.col("r.currency"))
+    joined = both.where(gates).select("key", "rank", F.col("l.ord").alias("ord_l"), F.col("r.ord").alias("ord_r"), F.col("l.id").alias("id_l"), F.col("r.id").alias("id_r"))
     return joined.groupBy("ord_l", "ord_r", "id_l", "id_r").agg(F.min_by("key", "rank").alias("blocking_key"), F.min("rank").alias("block_rank"))
 
 
