@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import Thresholds
+from .money import fixed
 from .normalize import cp_similarity, ref_similarity
 
 # Feature weights.
@@ -57,7 +58,7 @@ def gated(score: Column) -> Column:
 def explain(f: str = "features") -> Column:
     """One sentence of four findings."""
     ref, amt, date, cp = (F.col(f"{f}.{n}") for n in ("reference", "amount", "date", "counterparty"))
-    two = lambda text, c: F.concat(F.lit(text + " ("), F.format_string("%.2f", c), F.lit(")"))
+    two = lambda text, c: F.concat(F.lit(text + " ("), fixed(c, 2), F.lit(")"))
     return F.concat(
         F.concat_ws(
             "; ",

@@ -197,8 +197,8 @@ def exception_kinds(spark, sf):
 
 
 EXPLAIN = """
-select id, (case when b_ref = 1 then 'reference identical' when b_ref > 0.7 then printf('reference similar (%.2f)', b_ref) when b_ref > 0 then printf('reference weak (%.2f)', b_ref) else 'no usable reference' end || '; '
-  || case when b_amt = 1 then 'amount exact' when b_amt > 0.85 then 'amount differs by an explainable fee' when b_amt > 0 then printf('amount differs beyond the fee tolerance (%.2f)', b_amt) else 'amount unexplainable' end || '; '
+select id, (case when b_ref = 1 then 'reference identical' when b_ref > 0.7 then printf('reference similar (%.2f)', b_ref + case when (b_ref * 8) % 2 = 1 then 1e-9 else 0 end) when b_ref > 0 then printf('reference weak (%.2f)', b_ref + case when (b_ref * 8) % 2 = 1 then 1e-9 else 0 end) else 'no usable reference' end || '; '
+  || case when b_amt = 1 then 'amount exact' when b_amt > 0.85 then 'amount differs by an explainable fee' when b_amt > 0 then printf('amount differs beyond the fee tolerance (%.2f)', b_amt + case when (b_amt * 8) % 2 = 1 then 1e-9 else 0 end) else 'amount unexplainable' end || '; '
   || case when b_date > 0.8 then 'same-day or next-day' when b_date > 0 then 'within the lag window' else 'outside the date window' end || '; '
   || case when b_cp = 1 then 'same counterparty' when b_cp > 0.5 then 'counterparty similar' else 'counterparty differs' end || '.') as explanation from dec where best_id is not null"""
 
@@ -371,7 +371,7 @@ def shape_counts(spark, sf):
 @query("money_text", """
 with m as (select o_orderkey, case when o_orderkey % 5 = 0 then -1 else 1 end * cast(round(o_totalprice * 100) as bigint) * case when o_orderkey % 3 = 0 then 1000 else 1 end as minor from orders), w as (select *, (abs(minor) // 100) as whole from m)
 select o_orderkey, case when minor < 0 then '-' else '' end || '₹' || case when whole < 1000 then whole::varchar else ltrim(regexp_replace(lpad((whole // 1000)::varchar, 12, ' '), '([ 0-9]{2})', '\\1,', 'g'), ' ,') || lpad((whole % 1000)::varchar, 3, '0') end || '.' || lpad((abs(minor) % 100)::varchar, 2, '0') as inr,
-  case when minor < 0 then '-' else '' end || '₹' || case when whole >= 10000000 then printf('%.2f Cr', whole / 10000000.0::double) when whole >= 100000 then printf('%.2f L', whole / 100000.0::double) when whole >= 1000 then printf('%.1fk', whole / 1000.0::double) else whole::varchar end as compact from w""")
+  case when minor < 0 then '-' else '' end || '₹' || case when whole >= 10000000 then printf('%.2f Cr', whole / 10000000.0::double + case when (whole / 10000000.0::double * 8) % 2 = 1 then 1e-9 else 0 end) when whole >= 100000 then printf('%.2f L', whole / 100000.0::double + case when (whole / 100000.0::double * 8) % 2 = 1 then 1e-9 else 0 end) when whole >= 1000 then printf('%.1fk', whole / 1000.0::double + case when (whole / 1000.0::double * 4) % 2 = 1 then 1e-9 else 0 end) else whole::varchar end as compact from w""")
 def money_text(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     minor = F.when(F.col("o_orderkey") % 5 == 0, -1).otherwise(1) * F.round(F.col("o_totalprice") * 100).cast("long") * F.when(F.col("o_orderkey") % 3 == 0, 1000).otherwise(1)

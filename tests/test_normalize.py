@@ -42,7 +42,7 @@ def test_inr(spark, minor, want):
     assert one(spark, inr("a"), a=minor) == want
 
 
-@pytest.mark.parametrize("minor, want", [(1_500_000_000, "₹1.50 Cr"), (25_000_000, "₹2.50 L"), (-250_000, "-₹2.5k"), (5_000, "₹50")])
+@pytest.mark.parametrize("minor, want", [(1_500_000_000, "₹1.50 Cr"), (25_000_000, "₹2.50 L"), (10_350_000, "₹1.03 L"), (11_250_000, "₹1.13 L"), (-250_000, "-₹2.5k"), (5_000, "₹50")])
 def test_inr_compact(spark, minor, want):
     assert one(spark, inr_compact("a"), a=minor) == want
 
