@@ -13,10 +13,10 @@ Equal word sequences count as one text before candidates are sought. A bucket of
     partner among them and leaves.
  2. Each bucket's most central text (in the most large buckets) is compared with all its
     members.
- 3. A text that found no link so meets all others of its buckets, block by block, in tasks that
-    count overlaps through sorted shingles and emit no more links than join their groups.
-Texts linked in step 2 meet in their bucket's centre, so only they may lack a link to one another
-that also would join two groups.
+ 3. Where the texts of a bucket still belong to several groups, those outside the bucket's largest
+    group meet all its texts, block by block, in tasks that count overlaps through sorted
+    shingles and emit no more links than join their groups.
+So every two texts of a bucket either are in one group already or are compared.
 
 Defined cases: texts without words are copies of each other, as are texts of equal words;
 a text of fewer words than a shingle is one shingle; rows without a doc_id stay; rows
@@ -123,8 +123,9 @@ def _exploded(sets: DataFrame) -> DataFrame:
     return sets.select("rep", "shingles").mapInArrow(run, "rep long, shingle long")
 
 
-def dense_links(large: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links ``(src, dst)`` among the texts of large buckets ``(band, value, rep)``."""
+def dense_links(large: DataFrame, docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Links ``(src, dst)`` among the texts of large buckets ``(band, value, rep)`` that, with ``edges``, join the
+    same groups as all links would; ``edges`` are among them."""
     sets = materialize(shingle_sets(docs, large.select("rep").distinct()), "sets")
     able = sets
     for _ in range(2):
@@ -138,33 +139,39 @@ def dense_links(large: DataFrame, docs: DataFrame) -> DataFrame:
     ranked = members.join(seen, "rep")
     heads = ranked.groupBy("band", "value").agg(F.min(F.struct(-F.col("in"), F.col("rep")))["rep"].alias("head"))
     spokes = ranked.join(heads, ["band", "value"]).where("rep <> head").select(F.least("rep", "head").alias("src"), F.greatest("rep", "head").alias("dst")).distinct()
-    found = materialize(verified(spokes, sets), "spokes")
-    linked = found.select(F.col("src").alias("rep")).union(found.select("dst")).distinct()
-    alone = materialize(able.join(linked, "rep", "left_anti"), "alone")
-    return found.union(block_links(members, alone, able))
+    found = materialize(edges.union(verified(spokes, sets)), "spokes")
+    comps = connected_components(found).withColumnRenamed("node", "rep")
+    grouped = materialize(able.join(comps, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "shingles"), "grouped")
+    return found.union(block_links(members, grouped))
 
 
-def block_links(members: DataFrame, alone: DataFrame, able: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
-    """Links between ``alone`` and ``able`` texts of each bucket, as many as join the same groups.
+def block_links(members: DataFrame, grouped: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
+    """Links between texts ``(rep, component, shingles)`` of each bucket that join different components, as many as
+    join the same groups.
 
-    Both sides of a bucket are dealt into blocks of about ``limit`` bytes and each block of one meets each of
-    the other in a task of its own, which emits a link only if it joins two of its groups.
+    A bucket's texts outside its largest component meet all its texts. Both sides are dealt into blocks of about
+    ``limit`` bytes and each block of one meets each of the other in a task of its own, which emits a link only if
+    it joins two of its groups.
     """
-    left, right = members.select("band", "value", "rep").join(alone, "rep"), members.select("band", "value", "rep").join(able, "rep")
+    held = members.select("band", "value", "rep").join(grouped.select("rep", "component"), "rep")
+    sizes = held.groupBy("band", "value", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band", "value").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("components")).where("components > 1").select("band", "value", "main")
+    right = materialize(held.join(mixed, ["band", "value"]), "mixed").join(grouped.select("rep", "shingles"), "rep")
+    left = right.where("component <> main")
     blocks = lambda df, name: df.groupBy("band", "value").agg(F.ceil(F.sum(F.octet_length("shingles")) / limit).cast("int").alias(name))
     dealt = blocks(left, "rows").join(blocks(right, "cols"), ["band", "value"])
     own = lambda df, n, salt: df.withColumn(f"own_{n}", F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int"))
-    a = own(left.join(dealt, ["band", "value"]), "rows", 1).select("band", "value", F.col("own_rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), "rep", "shingles")
-    b = own(right.join(dealt, ["band", "value"]), "cols", 2).select("band", "value", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.col("own_cols").alias("col"), "rep", "shingles")
+    a = own(left.join(dealt, ["band", "value"]), "rows", 1).select("band", "value", F.col("own_rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), "rep", "component", "shingles")
+    b = own(right.join(dealt, ["band", "value"]), "cols", 2).select("band", "value", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.col("own_cols").alias("col"), "rep", "component", "shingles")
     key = ["band", "value", "row", "col"]
     # Both sides come from the same members; new column ids keep Spark from taking one for the other.
-    a, b = (x.select(*(F.col(c).alias(c) for c in [*key, "rep", "shingles"])) for x in (a, b))
+    a, b = (x.select(*(F.col(c).alias(c) for c in [*key, "rep", "component", "shingles"])) for x in (a, b))
     return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(_meet, "src long, dst long").distinct()
 
 
 def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
     """Overlaps of every right set with all left ones through one sorted list of the left's shingles."""
-    ids = left["rep"].to_pylist()
+    ids, comps = left["rep"].to_pylist(), left["component"].to_pylist()
     sets = [np.frombuffer(x, np.uint64) for x in left["shingles"].to_pylist()]
     sizes = np.array([len(x) for x in sets], np.int64)
     every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
@@ -178,14 +185,14 @@ def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
         return x
 
     out = []
-    for rep, packed in zip(right["rep"].to_pylist(), right["shingles"].to_pylist()):
+    for rep, comp, packed in zip(right["rep"].to_pylist(), right["component"].to_pylist(), right["shingles"].to_pylist()):
         own = np.frombuffer(packed, np.uint64)
         low, high = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
         n = high - low
         at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         both = np.bincount(owner[at], minlength=len(sets))
         for i in np.flatnonzero((both > 0) & (both >= SIMILARITY * (sizes + len(own) - both))):
-            x, y = root(ids[i]), root(rep)
+            x, y = root(comps[i]), root(comp)
             if x != y:
                 group[max(x, y)] = min(x, y)
                 out.append((min(ids[i], rep), max(ids[i], rep)))
@@ -208,7 +215,7 @@ def similar_links(sig: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame
     edges = verified(pairs, materialize(shingle_sets(docs, ids), "sets"))
     large = held.where(F.col("n") > CELL).select("band", "value", "rep")
     if not large.isEmpty():
-        edges = edges.union(dense_links(large, docs))
+        edges = dense_links(large, docs, edges)
     return reps.select("text_key", "rep"), edges
 
 

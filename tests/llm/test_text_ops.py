@@ -109,6 +109,27 @@ def test_near_groups(make, words, monkeypatch, cell):
     assert sorted(r.doc_id for r in near_dedup.dedup(make(rows)).collect()) == sorted(set(want.values()))
 
 
+def bridged(words, clouds=6, copies=20):
+    """Pairs of clouds of which only one text of each is alike to one of the other's; the centres are not."""
+    rows = []
+    for _ in range(clouds):
+        base = words(120).split()
+        edited = lambda places, last: " ".join("edit" if i in places else last if i == 119 and last else w for i, w in enumerate(base))
+        texts = [edited({20}, f"a{i}") for i in range(copies)] + [edited(set(), ""), edited({45, 70}, "")] + [edited({45, 70, 95}, f"b{i}") for i in range(copies)]
+        rows += [(len(rows) + i, t) for i, t in enumerate(texts)]
+    return rows
+
+
+def test_near_groups_bridged(make, words, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CELL", 2)
+    rows = bridged(words)
+    s = {i: shingles(t) for i, t in rows}
+    want = components(s, lambda a, b: len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b]))
+    assert len(set(want.values())) == 6
+    got = {r.doc_id: r.group_id for r in near_dedup.groups(make(rows)).collect()}
+    assert got == want
+
+
 def test_near_hard_rows(hard, empty):
     kept = near_dedup.dedup(hard)
     assert kept.columns == hard.columns
