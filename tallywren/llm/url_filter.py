@@ -8,12 +8,11 @@ multinomial naive Bayes scores the words of host and path.
 Unigram model: counts of the letter runs in paths and hyphenated host labels of all pages, with a
 list of fixed words. Classes are learned from the pages themselves: a page whose segmented words
 hold a seed word teaches ``block``, any other teaches ``allow``; words that the rules name are no
-features, so that the method doesn't restate them. Both models keep the words of a share of at
-least ``MIN_SHARE`` of all word places, which bounds what is broadcast at ``1 / MIN_SHARE`` words
-whatever the input.
+features, so that the method doesn't restate them. Both models keep every word in a distributed
+table. Pages are dealt by place into chunks of at most ``1 << CHUNK_BITS``; a chunk is joined with the counts
+of those words only that its names can hold, so that a word met everywhere is one row for each chunk.
 
-Hosts and paths recur on many pages, so each distinct name is segmented and each distinct
-pair of host and path words scored once for a batch.
+Hosts and paths recur on many pages, so each distinct pair of them is segmented and scored once for a chunk.
 
 Defined cases: a null url or one without ``://`` has empty host and path, fits no rule and has no
 words, so that the class shares decide; repeated rows are judged alike; an empty table gives an
@@ -24,17 +23,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import cut
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-MIN_SHARE, SMOOTHING, LONGEST = 1 / 50_000, 1.0, 24
+SMOOTHING, LONGEST, CHUNK_BITS = 1.0, 24, 15
 
 # Words that mark pages to block, and common words of names.
 SEEDS = ("spam", "pills", "casino", "bets", "betting", "adult", "porn", "viagra", "loans", "poker", "escort", "replica", "xxx")
@@ -65,11 +64,16 @@ def rule_column(rules=RULES):
     return out
 
 
+def letter_runs(text: str) -> list[str]:
+    return re.findall(r"[^\W\d_]+", text.lower())
+
+
 class Segmenter:
-    """The most probable split of a letter run under a unigram model."""
+    """The most probable split of a letter run under a unigram model. ``counts`` may be only those words of the
+    model that the runs can hold, if ``total`` is given."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.total = total or sum(counts.values()) or 1
         self.cost = {w: -math.log(n / self.total) for w, n in counts.items()}
         self.known: dict[str, tuple[str, ...]] = {}
 
@@ -94,18 +98,47 @@ class Segmenter:
         return found
 
     def words(self, text: str) -> list[str]:
-        return [w for run in re.findall(r"[^\W\d_]+", text.lower()) for w in self.split(run)]
+        return [w for run in letter_runs(text) for w in self.split(run)]
 
 
-def name_counts(pages: DataFrame, min_share: float = MIN_SHARE) -> dict[str, int]:
-    """How often each letter run occurs in paths and in host labels with hyphens, of those with at
-    least the share. A label without hyphens may be several words, so it teaches none."""
+def name_counts(pages: DataFrame) -> DataFrame:
+    """``(w, n)``: how often each letter run occurs in paths and in host labels with hyphens, and the
+    fixed words. A label without hyphens may be several words, so it teaches none."""
     parted = F.concat_ws("/", F.filter(F.split("host", r"\."), lambda x: x.contains("-")))
-    runs = pages.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws("/", parted, "path")), F.lit(r"(\p{L}+)"))).alias("w")).groupBy("w").count()
-    total = runs.agg(F.sum("count")).first()[0] or 0
-    counts = Counter({r.w: r["count"] for r in runs.where(F.col("count") >= total * min_share).collect()})
-    counts.update({w: COMMON_COUNT for w in {*COMMON, *SEEDS}})
-    return dict(counts)
+    runs = pages.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws("/", parted, "path")), F.lit(r"(\p{L}+)"))).alias("w"), F.lit(1).cast("long").alias("n"))
+    fixed = pages.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, sorted({*COMMON, *SEEDS})))).alias("w"), F.lit(COMMON_COUNT).cast("long").alias("n"))
+    return runs.union(fixed).groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def pieces(pages: DataFrame) -> DataFrame:
+    """``(chunk, w)``: what could be a word in the names of each chunk's pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, set()
+        for batch in cut(batches, 1000):
+            chunks, out = [], []
+            for chunk, host, path in zip(*(batch[c].to_pylist() for c in ("chunk", "host", "path"))):
+                if chunk != now:
+                    now, known = chunk, set()
+                for name in letter_runs(host + "/" + path):
+                    if name not in known:
+                        known.add(name)
+                        own = {name[a:b] for b in range(1, len(name) + 1) for a in range(max(0, b - LONGEST), b)}
+                        out += own
+                        chunks += [chunk] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(out, pa.string())], ["chunk", "w"])
+
+    return pages.select("chunk", "host", "path").mapInArrow(run, "chunk long, w string").distinct()
+
+
+def by_chunk(pages: DataFrame, words: DataFrame, run, schema: str) -> DataFrame:
+    """``run(pages, words)`` of each chunk. New column ids keep Spark from taking one side for the other."""
+    a, b = (x.select(*(F.col(c).alias(c) for c in x.columns)) for x in (pages, words))
+    return a.groupBy("chunk").cogroup(b.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def schema_of(df: DataFrame, *more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *more])
 
 
 def _tokens(host: str, path: str, segmenter: Segmenter, skip: frozenset[str]) -> list[str]:
@@ -116,36 +149,39 @@ def rule_words(rules=RULES) -> frozenset[str]:
     return frozenset(w for host, path, _ in rules for w in re.findall(r"[^\W\d_]+", (host + path).lower()))
 
 
-def class_counts(pages: DataFrame, segmenter: Segmenter, rules=RULES, min_share: float = MIN_SHARE) -> tuple[dict[str, tuple[int, int]], tuple[int, int]]:
-    """``{word: (allow, block)}`` and the pages of each class."""
-    skip, seeds = rule_words(rules), frozenset(SEEDS)
-    shared = pages.sparkSession.sparkContext.broadcast(segmenter)
+def segmented(pages: DataFrame, rules=RULES) -> DataFrame:
+    """``pages``, which have a chunk, with ``host_words`` and the features ``tokens``."""
+    counts = materialize(name_counts(pages), "names")
+    total, skip, names = counts.agg(F.sum("n")).first()[0], rule_words(rules), pages.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = shared.value
-        counts: Counter[tuple[str | None, int]] = Counter()
-        for batch in cut(batches, 10_000):
-            for host, path, n in zip(*(batch[c].to_pylist() for c in ("host", "path", "n"))):
-                words = _tokens(host, path, seg, skip)
-                block = int(not seeds.isdisjoint(words))
-                counts[None, block] += n
-                for w in words:
-                    counts[w, block] += n
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts], pa.string()), pa.array([b for _, b in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["w", "block", "n"])
-
-    same = pages.withColumn("path", F.regexp_replace("path", r"\d+", "0")).groupBy("host", "path").agg(F.count("*").alias("n"))
-    rows = same.mapInArrow(run, "w string, block int, n long").groupBy("w").agg(F.sum(F.when(F.col("block") == 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("block") == 1, F.col("n")).otherwise(0)).alias("b"))
-    total = rows.where("w is not null").agg(F.sum(F.col("a") + F.col("b"))).first()[0] or 0
-    found = rows.where(F.col("w").isNull() | (F.col("a") + F.col("b") >= total * min_share)).collect()
-    docs = next(((r.a, r.b) for r in found if r.w is None), (0, 0))
-    return {r.w: (r.a, r.b) for r in found if r.w is not None}, docs
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        seg = Segmenter(dict(zip(right["w"].to_pylist(), right["n"].to_pylist())), total)
+        seen: dict[tuple[str, str], tuple[str, list[str]]] = {}
+        out = []
+        for key in zip(left["host"].to_pylist(), left["path"].to_pylist()):
+            if (found := seen.get(key)) is None:
+                found = seen[key] = " ".join(seg.words(key[0])), _tokens(*key, seg, skip)
+            out.append(found)
+        return pa.table([*(left[c] for c in names), pa.array([w for w, _ in out], pa.string()), pa.array([t for _, t in out], pa.list_(pa.string()))], [*names, "host_words", "tokens"])
+
+    return by_chunk(pages, pieces(pages).join(counts, "w"), run, schema_of(pages, "host_words string", "tokens array<string>"))
+
+
+def class_counts(split: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """``(w, a, b)``, the places of each word in pages that teach ``allow`` and ``block``, and the pages of each class."""
+    taught = split.select("tokens", F.arrays_overlap("tokens", F.array(*map(F.lit, SEEDS))).cast("long").alias("block"))
+    docs = taught.agg(F.sum(1 - F.col("block")), F.sum("block")).first()
+    words = taught.select(F.explode("tokens").alias("w"), "block").groupBy("w").agg(F.sum(1 - F.col("block")).alias("a"), F.sum("block").alias("b"))
+    return words, (docs[0] or 0, docs[1] or 0)
 
 
 class NaiveBayes:
-    """Log odds of ``block`` against ``allow`` for a multiset of words."""
+    """Log odds of ``block`` against ``allow`` for a multiset of words. ``words`` may be only those scored, if
+    ``totals``, the model's places of each class and its number of words, are given."""
 
-    def __init__(self, words: dict[str, tuple[int, int]], docs: tuple[int, int]):
-        allow, block, v = sum(a for a, _ in words.values()), sum(b for _, b in words.values()), len(words) + 1
+    def __init__(self, words: dict[str, tuple[int, int]], docs: tuple[int, int], totals: tuple[int, int, int] | None = None):
+        allow, block, n = totals or (sum(a for a, _ in words.values()), sum(b for _, b in words.values()), len(words))
+        v = n + 1
         self.prior = math.log((docs[1] + 1) / (docs[0] + 1))
         self.odds = {w: math.log((b + SMOOTHING) / (block + SMOOTHING * v)) - math.log((a + SMOOTHING) / (allow + SMOOTHING * v)) for w, (a, b) in words.items()}
 
@@ -156,26 +192,19 @@ class NaiveBayes:
 def judge(pages: DataFrame, rules=RULES, url: str = "url", carry: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``carry``, ``host``, ``path``, ``rule``, ``verdict``, ``host_words`` and ``block_odds`` of every page."""
     parts = with_parts(pages.select(*carry, url), url).select(*carry, "host", "path")
-    segmenter = Segmenter(name_counts(parts))
-    bayes = NaiveBayes(*class_counts(parts, segmenter, rules))
-    shared = pages.sparkSession.sparkContext.broadcast((segmenter, bayes, rule_words(rules)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg, nb, skip = shared.value
-        seen: dict[tuple[str, str], tuple[str, float]] = {}
-        for batch in cut(batches, 10_000):
-            out = []
-            for key in zip(batch["host"].to_pylist(), batch["path"].to_pylist()):
-                if (found := seen.get(key)) is None:
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    found = seen[key] = " ".join(seg.words(key[0])), nb.score(_tokens(*key, seg, skip))
-                out.append(found)
-            names = batch.schema.names
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array([w for w, _ in out], pa.string()), pa.array([o for _, o in out], pa.float64())], [*names, "host_words", "block_odds"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema), "host_words string, block_odds double"])
-    scored = parts.mapInArrow(run, schema).withColumn("_r", rule_column(rules))
+    dealt = materialize(parts.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)), "parts")
+    split = materialize(segmented(dealt, rules), "split")
+    words, docs = class_counts(split)
+    words = materialize(words, "words")
+    totals = tuple(x or 0 for x in words.agg(F.sum("a"), F.sum("b"), F.count("*")).first())
+    names = [*parts.columns, "host_words"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        nb = NaiveBayes({w: (a, b) for w, a, b in zip(*(right[c].to_pylist() for c in ("w", "a", "b")))}, docs, totals)
+        return pa.table([*(left[c] for c in names), pa.array([nb.score(t) for t in left["tokens"].to_pylist()], pa.float64())], [*names, "block_odds"])
+
+    held = split.select("chunk", F.explode("tokens").alias("w")).distinct().join(words, "w")
+    scored = by_chunk(split, held, run, schema_of(split.select(*names), "block_odds double")).withColumn("_r", rule_column(rules))
     return scored.select(
         *carry, "host", "path", F.col("_r.rule").alias("rule"),
         F.coalesce("_r.verdict", F.when(F.col("block_odds") > 0, "block").otherwise("allow")).alias("verdict"), "host_words", "block_odds",

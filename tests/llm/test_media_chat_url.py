@@ -188,6 +188,18 @@ def test_method(spark):
     assert got[61].host_words.startswith("cheap pills")
 
 
+def test_rare_words_count(spark):
+    """Words of one place among over 50,000."""
+    from pyspark.sql import functions as F
+
+    many = spark.range(30_000).select("id", F.lit("http://nice-shop.info/zone/page").alias("url"))
+    few = spark.createDataFrame([(-1, "http://escort.info/q"), (-2, "http://zuvilmorkat.info/page"), (-3, "http://a.info/zuvil/morkat")], "id long, url string")
+    pages = many.union(few).withColumnRenamed("id", "page_id")
+    got = {r.page_id: r for r in url_filter.judge(pages).where("page_id < 10").collect()}
+    assert got[-1].verdict == "block" and got[-1].block_odds > 0 and got[5].verdict == "allow"
+    assert got[-2].host_words == "zuvil morkat info"
+
+
 def test_viterbi():
     import itertools
 
