@@ -68,7 +68,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 hashes = shingle_hashes(words, WORDS)
                 keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 fps.append(fingerprint(hashes))
-                bands.append(band_keys(np.unique(hashes)) if len(words) > WORDS else [])
+                bands.append(band_keys(np.unique(hashes)))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(keys, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
                 ["doc_id", "text_key", "fp", "bands"],

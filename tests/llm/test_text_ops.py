@@ -109,6 +109,11 @@ def test_near_groups(make, words, monkeypatch, cell):
     assert sorted(r.doc_id for r in near_dedup.dedup(make(rows)).collect()) == sorted(set(want.values()))
 
 
+def test_near_one_shingle(make):
+    rows = [(1, "ha ha ha ha ha"), (2, "ha " * 9), (3, "ho ho ho ho"), (4, "Ha ha HA ha ha ha"), (5, "ho ho ho ho ho"), (6, "one two three four five")]
+    assert {r.doc_id: r.group_id for r in near_dedup.groups(make(rows)).collect()} == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 6}
+
+
 def bridged(words, clouds=6, copies=20):
     """Pairs of clouds of which only one text of each is alike to one of the other's; the centres are not."""
     rows = []
