@@ -21,7 +21,7 @@ So every two texts of a bucket either are in one group already or are compared.
 Defined cases: texts without words are copies of each other, as are texts of equal words;
 a text of fewer words than a shingle is one shingle; rows without a doc_id stay; rows
 equal in doc_id and text become one; rows that share a doc_id with different texts are
-kept or dropped together; an empty table stays empty; all columns are kept.
+one document, whose texts belong to one group, so they are kept or dropped together; an empty table stays empty; all columns are kept.
 """
 
 from __future__ import annotations
@@ -77,15 +77,21 @@ def signatures(docs: DataFrame) -> DataFrame:
     return as_bytes(docs, "doc_id").mapInArrow(run, "doc_id long, text_key binary, fp long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(rep, shingles)`` of the texts named by ``ids(rep)``: sorted distinct hashes, packed."""
+def shingle_sets(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(rep, shingles)`` of ``texts(rep, doc_id, text_key)``, each read from the row of its doc_id
+    that has its key: sorted distinct hashes, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut(batches):
-            sets = [np.unique(shingle_hashes(blank_words(t), WORDS)).tobytes() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["rep"], pa.array(sets, pa.binary())], ["rep", "shingles"])
+            reps, sets = [], []
+            for rep, key, text in zip(*(batch[c].to_pylist() for c in ("rep", "text_key", "text"))):
+                words = blank_words(text)
+                if xxhash.xxh3_128_digest(b" ".join(words)) == key:
+                    reps.append(rep)
+                    sets.append(np.unique(shingle_hashes(words, WORDS)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
-    named = as_bytes(docs.withColumnRenamed("doc_id", "rep"), "rep").join(ids, "rep", "left_semi")
+    named = as_bytes(docs, "doc_id").join(texts.select("rep", "doc_id", "text_key"), "doc_id").select("rep", "text_key", "text")
     return named.mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"])
 
 
@@ -123,10 +129,10 @@ def _exploded(sets: DataFrame) -> DataFrame:
     return sets.select("rep", "shingles").mapInArrow(run, "rep long, shingle long")
 
 
-def dense_links(large: DataFrame, docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Links ``(src, dst)`` among the texts of large buckets ``(band, value, rep)`` that, with ``edges``, join the
-    same groups as all links would; ``edges`` are among them."""
-    sets = materialize(shingle_sets(docs, large.select("rep").distinct()), "sets")
+def dense_links(large: DataFrame, reps: DataFrame, docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Links ``(src, dst)`` that join the same groups as ``edges`` and all links among the texts of large buckets
+    ``(band, value, rep)`` would. What is joined before the last step comes as stars."""
+    sets = materialize(shingle_sets(docs, reps.join(large.select("rep").distinct(), "rep")), "sets")
     able = sets
     for _ in range(2):
         # A shingle of one holder is a group of one row; its holder is that row's.
@@ -140,9 +146,9 @@ def dense_links(large: DataFrame, docs: DataFrame, edges: DataFrame) -> DataFram
     heads = ranked.groupBy("band", "value").agg(F.min(F.struct(-F.col("in"), F.col("rep")))["rep"].alias("head"))
     spokes = ranked.join(heads, ["band", "value"]).where("rep <> head").select(F.least("rep", "head").alias("src"), F.greatest("rep", "head").alias("dst")).distinct()
     found = materialize(edges.union(verified(spokes, sets)), "spokes")
-    comps = connected_components(found).withColumnRenamed("node", "rep")
+    comps = materialize(connected_components(found).withColumnRenamed("node", "rep"), "components")
     grouped = materialize(able.join(comps, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "shingles"), "grouped")
-    return found.union(block_links(members, grouped))
+    return comps.select(F.col("component").alias("src"), F.col("rep").alias("dst")).union(block_links(members, grouped))
 
 
 def block_links(members: DataFrame, grouped: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
@@ -199,9 +205,22 @@ def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"src": pa.array([x for x, _ in out], pa.int64()), "dst": pa.array([y for _, y in out], pa.int64())})
 
 
+def same_document(sig: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """Links ``(src, dst)`` between the texts that share a doc_id, or None without such."""
+    named = sig.where("doc_id is not null").select("doc_id", "text_key")
+    several = materialize(named.groupBy("doc_id").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a <> b").select("doc_id"), "several")
+    if several.isEmpty():
+        return None
+    held = materialize(named.join(several, "doc_id").join(reps.select("text_key", "rep"), "text_key").select("doc_id", "rep").distinct(), "shared")
+    first = held.groupBy("doc_id").agg(F.min("rep").alias("src"))
+    return held.join(first, "doc_id").where("rep <> src").select("src", F.col("rep").alias("dst"))
+
+
 def similar_links(sig: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(reps, edges)``: one row ``(text_key, rep)`` for each distinct text, and verified links."""
-    reps = materialize(sig.where("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "reps")
+    """``(reps, edges)``: one row ``(text_key, rep, doc_id)`` for each distinct text, with a number of its own and
+    its smallest doc_id, and links that join the groups."""
+    texts = sig.where("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    reps = materialize(texts.withColumn("rep", F.monotonically_increasing_id()), "reps")
     members = reps.select("rep", F.posexplode("bands").alias("band", "value"))
     full = members.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
     held = materialize(members.join(full, ["band", "value"]), "buckets")
@@ -212,11 +231,13 @@ def similar_links(sig: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame
     near = links(fps).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     pairs = materialize(close.union(same).union(near).distinct(), "pairs")
     ids = pairs.select(F.col("src").alias("rep")).union(pairs.select("dst")).distinct()
-    edges = verified(pairs, materialize(shingle_sets(docs, ids), "sets"))
+    edges = verified(pairs, materialize(shingle_sets(docs, reps.join(ids, "rep")), "sets"))
+    if (same_doc := same_document(sig, reps)) is not None:
+        edges = edges.union(same_doc)
     large = held.where(F.col("n") > CELL).select("band", "value", "rep")
     if not large.isEmpty():
-        edges = dense_links(large, docs, edges)
-    return reps.select("text_key", "rep"), edges
+        edges = dense_links(large, reps, docs, edges)
+    return reps.select("text_key", "rep", "doc_id"), edges
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -224,7 +245,10 @@ def groups(docs: DataFrame) -> DataFrame:
     sig = materialize(signatures(docs), "signatures")
     reps, edges = similar_links(sig, docs)
     comps = connected_components(edges).withColumnRenamed("node", "rep")
-    named = reps.join(comps, "rep", "left").select("text_key", F.coalesce("component", "rep").alias("group_id"))
+    held = materialize(comps.join(reps.select("rep", "doc_id"), "rep"), "members")
+    least = held.groupBy("component").agg(F.min("doc_id").alias("group_id"))
+    of = held.select("rep", "component").join(least, "component").select("rep", "group_id")
+    named = reps.join(of, "rep", "left").select("text_key", F.coalesce("group_id", "doc_id").alias("group_id"))
     return sig.where("doc_id is not null").select("doc_id", "text_key").join(named, "text_key")
 
 

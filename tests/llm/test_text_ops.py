@@ -114,6 +114,13 @@ def test_near_one_shingle(make):
     assert {r.doc_id: r.group_id for r in near_dedup.groups(make(rows)).collect()} == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 6}
 
 
+def test_near_shared_doc_id(make, words):
+    a, b = words(60), words(60)
+    rows = [(5, a), (5, b), (7, b + " tail"), (8, a + " tail"), (9, words(60))]
+    assert sorted((r.doc_id, r.group_id) for r in near_dedup.groups(make(rows)).collect()) == [(5, 5), (5, 5), (7, 5), (8, 5), (9, 9)]
+    assert sorted((r.doc_id, r.text) for r in near_dedup.dedup(make(rows)).collect()) == sorted([rows[0], rows[1], rows[4]])
+
+
 def bridged(words, clouds=6, copies=20):
     """Pairs of clouds of which only one text of each is alike to one of the other's; the centres are not."""
     rows = []
