@@ -19,7 +19,7 @@ linear.
 
 Defined cases: a null, empty or blank text has the fingerprint zero and is linked like any
 other; a text of fewer words than a shingle is one shingle; a null doc_id takes its
-group's component; repeated doc_ids are rows of their own; other columns are passed by.
+group's component, which is the smallest doc_id of its rows that have one, or null without any; repeated doc_ids are rows of their own; other columns are passed by.
 """
 
 from __future__ import annotations
@@ -119,9 +119,13 @@ def links(nodes: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame
 def components(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` for each row of ``docs``."""
     own = materialize(fingerprints(docs, n), "fingerprints")
-    nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    comps = connected_components(links(nodes.where("node is not null")))
-    named = nodes.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    # Fingerprints are the nodes, so that those of rows without a doc_id link too.
+    comps = connected_components(links(nodes.select("fp", F.col("fp").alias("node")))).withColumnRenamed("node", "fp")
+    held = materialize(comps.join(nodes, "fp"), "members")
+    least = held.groupBy("component").agg(F.min("least").alias("group"))
+    of = held.select("fp", "component").join(least, "component").select("fp", "group", F.lit(True).alias("linked"))
+    named = nodes.join(of, "fp", "left").select("fp", F.when(F.col("linked"), F.col("group")).otherwise(F.col("least")).alias("component_id"))
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -55,6 +55,14 @@ def test_simhash(make, words):
     assert got == {i: (format(fps[i], "016x"), want[i]) for i in fps}
 
 
+def test_simhash_links_through_null_ids(spark, monkeypatch):
+    """Fingerprints 0, 3, 15 and 63 in a chain of two bits each; the middle ones have no doc_id."""
+    rows = [(9, 0), (None, 3), (None, 15), (4, 63), (None, 1 << 40 | 7 << 50), (2, -1)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, n: docs)
+    got = {r.fp: r.component_id for r in simhash.components(spark.createDataFrame(rows, "doc_id long, fp long")).collect()}
+    assert got == {0: 4, 3: 4, 15: 4, 63: 4, 1 << 40 | 7 << 50: None, -1: 2}
+
+
 @pytest.mark.parametrize("cell", [1, 4, 1000])
 def test_links_dense_and_sparse(spark, cell):
     rng = random.Random(3)
