@@ -1,11 +1,12 @@
 """Operator 6: license scans by MinHash bands over overlapping text windows.
 
-Templates are grouped by length; a group's windows are twice as long as its longest template
-and overlap by half, so that every place of a template lies wholly inside some window. Window and
+Templates are grouped by length; a group's windows are three times as long as its longest template, at a stride
+of its length, so that every copy stretched to at most twice that length lies wholly inside some window. Window and
 template are compared by MinHash over word shingles with bands of one row: a window that holds the share ``CONTAINMENT`` of
-a template's ``m`` shingles among its own ``k`` has a similarity near ``CONTAINMENT * m / k`` or more,
+a template's ``m`` shingles among its own ``k`` has a similarity of ``C / (k + m - C)`` or more with ``C = CONTAINMENT * m``,
 and ``bands_for`` takes as many bands as make a common value at least ``RECALL`` likely.
-Windows that share a value with a template are verified by exact containment of its shingles.
+Windows that share a value with a template are verified by exact containment of its
+shingles in the window widened by a stride on both sides.
 
 Defined cases: null and empty texts hold no license; templates shorter than a shingle are one
 shingle of all their words; repeated rows are scanned alike; an empty table gives an empty
@@ -74,14 +75,14 @@ class Group:
     """Templates of like length, their windows, and their MinHash values."""
 
     def __init__(self, templates: list[tuple[str, list[bytes]]], scanner: "Scanner"):
-        self.window = max(2 * max(len(w) for _, w in templates), SHINGLE + 1)
-        self.stride = self.window // 2
+        self.stride = max(2 * max(len(w) for _, w in templates), SHINGLE + 1) // 2
+        self.window = 3 * self.stride
         self.ids = [name for name, _ in templates]
         self.sizes = [len(w) for _, w in templates]
         shingles = [scanner.shingles(w) for _, w in templates]
         self.sets = [set(map(int, s)) for s in shingles]
-        least = min(math.ceil(CONTAINMENT * len(s)) for s in self.sets)
-        self.bands = bands_for(least / (2 * self.stride))
+        held = [(math.ceil(CONTAINMENT * len(s)), len(s)) for s in self.sets]
+        self.bands = bands_for(min(c / (self.window + m - c) for c, m in held))
         self.low = np.stack([scanner.minhash(s, self.bands).min(axis=1) for s in shingles])
 
 
@@ -142,11 +143,13 @@ class Scanner:
                     at = np.unique(np.concatenate([[0], starts[(starts >= first) & (starts < first + part.shape[1])] - first])).astype(int)
                     to = (at + first) // step
                     blocks[:, to] = np.minimum(blocks[:, to], np.minimum.reduceat(part[: g.bands], at, axis=1))
-            lows = np.minimum(blocks, np.hstack([blocks[:, 1:], blocks[:, -1:]]))
+            lows = blocks
+            for _ in range(2):
+                lows = np.minimum(lows, np.hstack([lows[:, 1:], lows[:, -1:]]))
             for t, name in enumerate(g.ids):
                 for w in np.flatnonzero((lows == g.low[t][:, None]).any(axis=0)):
                     a = int(starts[w])
-                    have = g.sets[t].intersection(shingles[a : a + 2 * step].tolist())
+                    have = g.sets[t].intersection(shingles[max(0, a - step) : a + g.window + step].tolist())
                     share = len(have) / len(g.sets[t])
                     if share >= CONTAINMENT and share > found.get(name, (0.0, 0))[0]:
                         found[name] = share, a

@@ -225,6 +225,17 @@ def test_licenses(make, words, empty):
     assert license_scan.report(empty).count() == 0
 
 
+def test_stretched_license_at_every_place(words):
+    copy = license_scan.TEMPLATES["mit"].split()
+    copy[20] = "edited"
+    copy[60:60] = ["more"] * 8
+    copy[40:40] = ["more"] * 8
+    scanner, before, after = license_scan.Scanner(), words(200).split(), words(200).split()
+    for at in range(0, 200, 3):
+        found = scanner.scan([w.lower().encode() for w in before[:at]] + license_scan.alnum_words(" ".join(copy).encode()) + [w.lower().encode() for w in after])
+        assert found["mit"][0] >= 0.8
+
+
 def test_bands():
     for s in (0.1, 0.3, 0.9, 1.0):
         b = license_scan.bands_for(s)
