@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import new_path, remove_path
 
 MAX_ROUNDS = 60
 
@@ -25,14 +25,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Alternating large-star and small-star rounds: each node hands its larger neighbours,
     then its smaller ones, to the smallest it knows, until only stars are left.
     Edges never multiply, a hub's edges are dealt by AQE's skew join, and each round ends
-    in a written table. Nulls and self-loops are no edges. A graph that has not settled
+    in a written table that replaces the last one. Nulls and self-loops are no edges. A graph that has not settled
     after ``MAX_ROUNDS`` rounds is an error, never a silent stop.
     """
-    e = materialize(
+    spark = edges.sparkSession
+
+    def written(rows: DataFrame) -> tuple[DataFrame, str]:
+        path = new_path(spark, "edges")
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path), path
+
+    e, path = written(
         edges.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo"))
         .where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("hi") != F.col("lo")))
-        .distinct(),
-        "edges",
+        .distinct()
     )
     for _ in range(MAX_ROUNDS):
         if _stars(e):
@@ -50,5 +56,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             .select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("hi"), F.col("m").alias("lo")))).alias("x"))
             .select("x.hi", "x.lo").where("hi <> lo").distinct()
         )
-        e = materialize(small, "edges")
+        before = path
+        e, path = written(small)
+        remove_path(spark, before)
     raise RuntimeError(f"connected components did not settle in {MAX_ROUNDS} rounds")

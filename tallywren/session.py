@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,18 +29,26 @@ def get_session(app: str = "tallywren", cores: str | None = None, shuffle_partit
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where the session
-    has none (tests, a single machine) is a temporary folder set instead."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a single machine that has none gets a
+    temporary folder; on a cluster that is an error, as executors would not see it."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tallywren-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tallywren/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tallywren/{name}-{uuid.uuid4().hex}"
+    for paths in _scopes:
+        paths.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
@@ -53,3 +63,17 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 def remove_path(spark: SparkSession, path: str) -> None:
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end every table written meanwhile. What is to outlive it must have been written
+    to a path taken before; its results must not be read lazily from inside."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            remove_path(spark, path)
