@@ -1,5 +1,6 @@
 """Operators 4 and 5, the registered queries' SQL, and the pipeline."""
 
+import hashlib
 import random
 import zlib
 
@@ -24,10 +25,11 @@ def water(sizes, weights, cap=3):
         full |= over
 
 
-def test_mix(make, words):
+@pytest.mark.parametrize("block", [1, 16])
+def test_mix(make, words, block):
     rng = random.Random(3)
     rows = [(i, words(rng.randrange(0, 60)), rng.choices(["a", "B", "é", "zz", None, "tiny"], [40, 5, 3, 10, 2, 1])[0]) for i in range(400)] + [(*r, "h") for r in HARD]
-    out = mixing.mix(make(rows), block=16).collect()
+    out = mixing.mix(make(rows), block=block).collect()
     size = {}
     for _, t, s in rows:
         size[s] = size.get(s, 0) + len((t or "").encode().split())
@@ -41,18 +43,55 @@ def test_mix(make, words):
     assert sorted(by) == sorted({(size[s], round(want[s], 6)) for s in size})
     for (n, t), rs in by.items():
         k = sum(size[s] == n and round(want[s], 6) == t for s in size)
-        assert abs(sum(r.taken for r in rs) - k * t) <= k
-    again = mixing.mix(make(rows).repartition(5), block=16).collect()
+        assert abs(sum(r.taken for r in rs) - k * t) <= 3 * k * block
+    again = mixing.mix(make(rows).repartition(5), block=block).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
 
 
 def test_schedule_prefixes(spark):
     src = spark.createDataFrame([("a", 0, 5, 6000, 5000.0, 5000), ("b", 1, 2, 3000, 2500.0, 2500), ("c", 2, 1, 900, 500.0, 500)], "source string, pos int, weight long, source_size long, target double, quota long")
-    slots = mixing.schedule(src, 10).orderBy("slot").collect()
-    assert {p: sorted(s.rank for s in slots if s.pos == p) for p in range(3)} == {0: list(range(500)), 1: list(range(250)), 2: list(range(50))}
+    slots, given = mixing.schedule(src, 10)
+    slots, given = slots.orderBy("slot").collect(), {r.pos: r.slots for r in given.collect()}
+    share = (5 / 8, 2.5 / 8, 0.5 / 8)
+    point = lambda i: i * mixing.PHI % mixing.POINTS / mixing.POINTS
+    assert [s.slot for s in slots] == list(range(800))
+    assert all(s.pos == (0 if point(s.slot) < share[0] else 1 if point(s.slot) < 1 - share[2] else 2) for s in slots)
+    for p in range(3):
+        assert [s.rank for s in slots if s.pos == p] == list(range(given[p])) and abs(given[p] - 800 * share[p]) <= 3
     for n in (50, 200, 400):
         seen = [sum(s.pos == p for s in slots[:n]) for p in range(3)]
-        assert all(abs(x - n * share) <= 6 for x, share in zip(seen, (5 / 8, 2.5 / 8, 0.5 / 8)))
+        assert all(abs(x - n * share) <= 3 for x, share in zip(seen, share))
+
+
+def test_slots_decide(make, words):
+    """What a document takes is what its blocks' slots hold, laid out by brute force."""
+    rng = random.Random(5)
+    rows = [(i, words(rng.randrange(0, 40)), rng.choices("abc", [6, 3, 1])[0]) for i in range(120)]
+    out = {r.doc_id: r for r in mixing.mix(make(rows), block=8).collect()}
+    size = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
+    target = water(size, dict(zip("abc", (5, 2, 1))))
+    ends = [int(sum(int(target[s] / sum(size.values()) * mixing.POINTS + 0.5) for s in "abc"[: n + 1])) for n in range(3)]
+    total = sum(min(3 * size[s], int(target[s] + 0.5)) for s in "abc")
+    slots = {s: [] for s in "abc"}
+    for i in range(-(-total // 8)):
+        p = i * mixing.PHI % mixing.POINTS
+        slots["a" if p < ends[0] else "b" if p < ends[1] else "c"].append(i)
+    for s in "abc":
+        order = sorted((hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest(), i, len(t.split())) for i, t, x in rows if x == s)
+        tape = [i for _, i, n in order for _ in range(n)] * 3
+        used = tape[: 8 * len(slots[s])]
+        for _, i, n in order:
+            places = [k for k, x in enumerate(used) if x == i]
+            assert (out[i].taken, out[i].first_slot) == (len(places), slots[s][places[0] // 8] if places else -1)
+
+
+def test_mixed_keeps_documents(make, words, spark):
+    rows = [(i, words(30), "ab"[i % 2]) for i in range(20)] + [(0, words(3), "a"), (50, None, "a")]
+    docs = make(rows).selectExpr("*", "1 as size", "2 as `odd name`", "3 as row", "4 as start")
+    out = mixing.mixed(docs).collect()
+    assert set(out[0].asDict()) == {*docs.columns, *mixing.OWN} and all(r.size == len(r.text.split()) and r.row == 3 for r in out)
+    want = {(r.doc_id, r.size, r.taken, r.first_slot) for r in mixing.mix(docs).collect() if r.taken}
+    assert {(r.doc_id, r.size, r.taken, r.first_slot) for r in out} == want
 
 
 def test_mix_empty(empty, make):
