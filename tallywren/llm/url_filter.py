@@ -6,17 +6,19 @@ fits, the method decides: names are split into words by a unigram Viterbi search
 multinomial naive Bayes scores the words of host and path.
 
 Unigram model: counts of the letter runs in paths and hyphenated host labels of all pages, with a
-list of fixed words. Classes are learned from the pages themselves: a page whose segmented words
-hold a seed word teaches ``block``, any other teaches ``allow``; words that the rules name are no
-features, so that the method doesn't restate them. Both models keep every word in a distributed
+list of fixed words. The classes are taught by the pages that rules judge, with the rule's verdict as the class; words that
+the rules name are no features, so the method can't restate them but tells by the other words what the
+rules' pages have in common. Both models keep every word in a distributed
 table. Pages are dealt by place into chunks of at most ``1 << CHUNK_BITS``; a chunk is joined with the counts
 of those words only that its names can hold, so that a word met everywhere is one row for each chunk.
 
 Hosts and paths recur on many pages, so each distinct pair of them is segmented and scored once for a chunk.
 
-Defined cases: a null url or one without ``://`` has empty host and path, fits no rule and has no
-words, so that the class shares decide; repeated rows are judged alike; an empty table gives an
-empty result; other columns are passed by.
+Defined cases: a null or empty url or one without ``://`` has empty host and path, fits no rule and has no
+words, so that the class shares decide; odds of zero (a tie, or no page that a rule judges) allow; of equally probable splits the one
+whose last word begins first is taken; letter runs of any length are split whole, in
+words of at most ``LONGEST`` letters that the model knows or of any length that it doesn't; repeated rows are judged alike and teach as often as they occur; an empty table gives an
+empty result; other columns are passed by, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,8 +37,7 @@ from .common import cut
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 SMOOTHING, LONGEST, CHUNK_BITS = 1.0, 24, 15
 
-# Words that mark pages to block, and common words of names.
-SEEDS = ("spam", "pills", "casino", "bets", "betting", "adult", "porn", "viagra", "loans", "poker", "escort", "replica", "xxx")
+# Common words of names.
 COMMON = (
     "adult", "art", "bank", "best", "bet", "bets", "blog", "book", "buy", "card", "casino", "cheap", "city", "click", "cloud", "data", "deal", "drug", "farm", "fast", "file",
     "food", "free", "game", "games", "gold", "health", "help", "home", "hot", "info", "job", "land", "life", "live", "loan", "loans", "mail", "map", "media", "money", "music",
@@ -51,7 +52,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
     """``pages`` with ``host`` and ``path``."""
     text = F.coalesce(F.col(url).cast("string"), F.lit(""))
-    rest = F.when(F.instr(text, "://") > 0, F.expr(f"substring(coalesce(cast(`{url}` as string), ''), instr(`{url}`, '://') + 3)")).otherwise("")
+    rest = F.when(F.instr(text, "://") > 0, F.substring(text, F.instr(text, "://") + 3, F.length(text))).otherwise("")
     return pages.withColumn("_rest", rest).withColumn("host", F.translate(F.regexp_extract("_rest", r"^[^/?#]*", 0), UPPER, LOWER)).withColumn("path", F.regexp_extract("_rest", r"^[^/?#]*([^?#]*)", 1)).drop("_rest")
 
 
@@ -106,7 +107,7 @@ def name_counts(pages: DataFrame) -> DataFrame:
     fixed words. A label without hyphens may be several words, so it teaches none."""
     parted = F.concat_ws("/", F.filter(F.split("host", r"\."), lambda x: x.contains("-")))
     runs = pages.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws("/", parted, "path")), F.lit(r"(\p{L}+)"))).alias("w"), F.lit(1).cast("long").alias("n"))
-    fixed = pages.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, sorted({*COMMON, *SEEDS})))).alias("w"), F.lit(COMMON_COUNT).cast("long").alias("n"))
+    fixed = pages.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, COMMON))).alias("w"), F.lit(COMMON_COUNT).cast("long").alias("n"))
     return runs.union(fixed).groupBy("w").agg(F.sum("n").alias("n"))
 
 
@@ -167,9 +168,9 @@ def segmented(pages: DataFrame, rules=RULES) -> DataFrame:
     return by_chunk(pages, pieces(pages).join(counts, "w"), run, schema_of(pages, "host_words string", "tokens array<string>"))
 
 
-def class_counts(split: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
-    """``(w, a, b)``, the places of each word in pages that teach ``allow`` and ``block``, and the pages of each class."""
-    taught = split.select("tokens", F.arrays_overlap("tokens", F.array(*map(F.lit, SEEDS))).cast("long").alias("block"))
+def class_counts(split: DataFrame, rules=RULES) -> tuple[DataFrame, tuple[int, int]]:
+    """``(w, a, b)``, the places of each word in the pages that rules allow and block, and the pages of each class."""
+    taught = split.select("tokens", (rule_column(rules)["verdict"] == "block").cast("long").alias("block")).where("block is not null")
     docs = taught.agg(F.sum(1 - F.col("block")), F.sum("block")).first()
     words = taught.select(F.explode("tokens").alias("w"), "block").groupBy("w").agg(F.sum(1 - F.col("block")).alias("a"), F.sum("block").alias("b"))
     return words, (docs[0] or 0, docs[1] or 0)
@@ -190,24 +191,27 @@ class NaiveBayes:
 
 
 def judge(pages: DataFrame, rules=RULES, url: str = "url", carry: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """``carry``, ``host``, ``path``, ``rule``, ``verdict``, ``host_words`` and ``block_odds`` of every page."""
-    parts = with_parts(pages.select(*carry, url), url).select(*carry, "host", "path")
+    """``carry``, ``host``, ``path``, ``rule``, ``verdict``, ``host_words``, ``features``, ``block_odds`` and ``method``, the verdict of
+    the method alone, of every page."""
+    key = F.struct(*(F.col(f"`{c}`") for c in carry)).alias("key")
+    parts = with_parts(pages.select(key, F.col(url).cast("string").alias("url"))).select("key", "host", "path")
     dealt = materialize(parts.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)), "parts")
     split = materialize(segmented(dealt, rules), "split")
-    words, docs = class_counts(split)
+    words, docs = class_counts(split, rules)
     words = materialize(words, "words")
     totals = tuple(x or 0 for x in words.agg(F.sum("a"), F.sum("b"), F.count("*")).first())
-    names = [*parts.columns, "host_words"]
+    names = split.columns
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         nb = NaiveBayes({w: (a, b) for w, a, b in zip(*(right[c].to_pylist() for c in ("w", "a", "b")))}, docs, totals)
         return pa.table([*(left[c] for c in names), pa.array([nb.score(t) for t in left["tokens"].to_pylist()], pa.float64())], [*names, "block_odds"])
 
     held = split.select("chunk", F.explode("tokens").alias("w")).distinct().join(words, "w")
-    scored = by_chunk(split, held, run, schema_of(split.select(*names), "block_odds double")).withColumn("_r", rule_column(rules))
+    method = F.when(F.col("block_odds") > 0, "block").otherwise("allow")
+    scored = by_chunk(split, held, run, schema_of(split, "block_odds double")).withColumn("_r", rule_column(rules))
     return scored.select(
-        *carry, "host", "path", F.col("_r.rule").alias("rule"),
-        F.coalesce("_r.verdict", F.when(F.col("block_odds") > 0, "block").otherwise("allow")).alias("verdict"), "host_words", "block_odds",
+        *(F.col("key").getField(c).alias(c) for c in carry), "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", method).alias("verdict"),
+        "host_words", F.array_join("tokens", " ").alias("features"), "block_odds", method.alias("method"),
     )
 
 
