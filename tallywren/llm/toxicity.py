@@ -12,16 +12,18 @@ empty state within a few characters.
 
 Score: each match counts by its form's strength and its context window. Inside quotation marks, or beside words of
 reporting or defining, it counts little; plain use counts in full. The sums of exact and
-misspelled matches and their density enter a logistic model fitted on the same rows.
+misspelled matches, which saturate, and their density enter a logistic model fitted on the same rows.
 
 The model learns from at most ``SAMPLE`` labelled rows (those with the smallest hash of
 doc_id), never from rows whose crc32(doc_id) mod 4 is 2; labels, lang, source and doc_id are
-no inputs of a score. The lexicon holds at most ``MAX_FORMS`` forms, which bounds what is
-broadcast.
-
-Defined cases: null and empty texts have no matches and the score of such; null labels
-teach nothing; repeated label rows count once (a row labelled both ways is toxic);
-without usable labels every score is 0; other columns are passed by.
+no inputs of a score. The lexicon holds every form that passes the test; each needs ``MIN_SEEN`` places of its own in
+toxic rows of that sample, which bounds what is broadcast.
+
+Defined cases: null and empty texts have no matches and the score of such; texts of any length are matched whole;
+forms of equal distance from a word are told apart by strength; null labels and labels without a doc_id
+teach nothing; repeated label rows count once (a row labelled both ways is toxic); repeated documents are scored alike, and a
+labelled one teaches as often as it occurs, but equal places count once; an empty table gives an empty result;
+without usable labels every score is 0; other columns, whatever their names, are passed by or kept.
 """
 
 from __future__ import annotations
@@ -40,12 +42,12 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import ALNUM, alnum_words, as_bytes, crc_mod_col, cut
 
-SAMPLE, MAX_FORMS, THRESHOLD = 12_000, 2_000, 0.3
+SAMPLE, THRESHOLD = 12_000, 0.3
 STEMS = range(4, 9)
 MIN_G, MIN_RATIO, FULL_RATIO, MIN_SEEN = 28.0, 8.0, 200.0, 3
 FOLDS, HELD = 4, 2
 WINDOW_BYTES = 80
-QUOTED_WEIGHT = 0.25
+QUOTED_WEIGHT, SATURATION = 0.25, 4.0
 
 # Marks and words that point to quotation or definition rather than use.
 OPENERS = "“«‘„\""
@@ -153,7 +155,8 @@ def sample_rows(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataF
         .where(crc_mod_col("doc_id", FOLDS) != HELD)
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     )
-    return as_bytes(docs.join(F.broadcast(ids), "doc_id"), "doc_id", "toxic")
+    # At most ``size`` ids and flags.
+    return as_bytes(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "doc_id", "toxic")
 
 
 def form_counts(sample: DataFrame) -> DataFrame:
@@ -182,7 +185,7 @@ def form_counts(sample: DataFrame) -> DataFrame:
     return each.groupBy("form").agg(F.count("near").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn_forms(sample: DataFrame, n_toxic: int, n_clean: int, limit: int = MAX_FORMS) -> dict[str, float]:
+def learn_forms(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
     """The lexicon: forms, stems with a star, and their strength of 0 to 1."""
     if not n_toxic or not n_clean:
         return {}
@@ -192,7 +195,7 @@ def learn_forms(sample: DataFrame, n_toxic: int, n_clean: int, limit: int = MAX_
     ratio = (k / n_toxic) / ((c + 1) / n_clean)
     found = (
         form_counts(sample).where(F.col("toxic") >= MIN_SEEN).select("form", "toxic", g.alias("g"), ratio.alias("ratio"))
-        .where((F.col("g") >= MIN_G) & (F.col("ratio") >= MIN_RATIO)).orderBy(F.desc("g"), "form").limit(4 * limit).collect()
+        .where((F.col("g") >= MIN_G) & (F.col("ratio") >= MIN_RATIO)).orderBy(F.desc("g"), "form").collect()
     )
     count, strength = {r.form: r.toxic for r in found}, {r.form: min(1.0, math.log(r.ratio) / math.log(FULL_RATIO)) for r in found}
     # A stem that one longer form explains is no stem of its own.
@@ -208,7 +211,7 @@ def learn_forms(sample: DataFrame, n_toxic: int, n_clean: int, limit: int = MAX_
         if not any(f.startswith(t[:-1]) for t in stems):
             stems.append(f)
     lexicon = {*stems, *(f for f in kept if not f.endswith("*") and not any(f.startswith(t[:-1]) for t in stems))}
-    return {f: strength[f] for f in [f for f in count if f in lexicon][:limit]}
+    return {f: strength[f] for f in count if f in lexicon}
 
 
 def context_weight(text: bytes, start: int, end: int) -> float:
@@ -223,6 +226,11 @@ def context_weight(text: bytes, start: int, end: int) -> float:
     return QUOTED_WEIGHT if any(w in REPORTING for w in near) else 1.0
 
 
+def saturated(x: float) -> float:
+    """Many matches count for ever less, so that a long text's sum stays within the range that short ones taught."""
+    return SATURATION * (1 - math.exp(-x / SATURATION))
+
+
 class TextScorer:
     """Features of a text under a matcher; words once looked up are remembered."""
 
@@ -253,7 +261,7 @@ class TextScorer:
             return 0.0, 0.0, 0.0
         exact = sum(w for *_, e, w in found if e == 0)
         near = sum(w for *_, e, w in found if e > 0)
-        return min(exact, 4.0), min(near, 4.0), math.log1p(1000.0 * (exact + near) / max(1, text.count(b" ") + 1))
+        return saturated(exact), saturated(near), math.log1p(1000.0 * (exact + near) / max(1, text.count(b" ") + 1))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
