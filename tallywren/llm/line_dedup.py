@@ -13,9 +13,9 @@ A document loses every line of which the owner is another document. Keys are has
 128 bits; documents are dealt by doc_id only, so that a line that many share is one small
 row for each holder, and AQE splits its join.
 
-Defined cases: a null or empty text is one empty line; lines of documents without a
-doc_id are kept and own nothing; rows that share a doc_id hold their lines as one
-document; an empty table gives an empty result; other columns are passed by.
+Defined cases: a null or empty text is one empty line; a text or line of any length is read whole; lines of documents without a
+doc_id are kept and own nothing; rows that share a doc_id, and repeated rows, hold their lines as one
+document; of several documents that hold a line the smallest doc_id owns it, so there are no ties; an empty table gives an empty result; other columns, whatever their names, are passed by or kept.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, new_path, remove_path
+from ..session import materialize, new_path, remove_path, scratch
 from .common import as_bytes, cut
 
 MIN_CHARS, FANOUT, BATCHES = 10, 3, 4
@@ -110,6 +110,12 @@ class LineRuns:
                 for n in names:
                     self._drop(n)
 
+    def drop(self) -> None:
+        """Removes all runs."""
+        for name in self.runs():
+            self._drop(name)
+        self.levels = [[]]
+
     def _drop(self, name: str) -> None:
         path = self.spark.sql(f"describe extended {name}").where("col_name = 'Location'").first()
         self.spark.sql(f"drop table {name}")
@@ -119,19 +125,25 @@ class LineRuns:
 
 def lost_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """``(doc_id, lost)``: for each document that loses lines, their key hashes (16 bytes each,
-    joined)."""
+    joined). The runs and the table of lines are removed once it is written."""
     spark = docs.sparkSession
-    lines = materialize(line_hashes(docs), "lines")
-    store = LineRuns(spark)
-    cuts = lines.select(F.expr(f"approx_percentile(doc_id, array({', '.join(str(i / batches) for i in range(1, batches))}), 1000)")).first()[0] or [0] if batches > 1 else []
-    edges = [None, *dict.fromkeys(cuts), None]
-    for low, high in zip(edges, edges[1:]):
-        part = lines if low is None else lines.where(F.col("doc_id") > low)
-        store.add(part if high is None else part.where(F.col("doc_id") <= high))
-    owned = store.table()
-    lost = lines.join(owned, ["h1", "h2"]).where("doc_id <> owner")
-    piece = F.concat(*(F.unhex(F.lpad(F.hex(h), 16, "0")) for h in ("h1", "h2")))
-    return lost.select("doc_id", piece.alias("h")).groupBy("doc_id").agg(F.collect_set("h").alias("lost"))
+    out = new_path(spark, "lost")
+    with scratch(spark):
+        lines = materialize(line_hashes(docs), "lines")
+        store = LineRuns(spark)
+        try:
+            cuts = lines.select(F.expr(f"approx_percentile(doc_id, array({', '.join(str(i / batches) for i in range(1, batches))}), 1000)")).first()[0] or [0] if batches > 1 else []
+            edges = [None, *dict.fromkeys(cuts), None]
+            for low, high in zip(edges, edges[1:]):
+                part = lines if low is None else lines.where(F.col("doc_id") > low)
+                store.add(part if high is None else part.where(F.col("doc_id") <= high))
+            piece = F.concat(*(F.unhex(F.lpad(F.hex(h), 16, "0")) for h in ("h1", "h2")))
+            lost = lines.join(store.table(), ["h1", "h2"]).where("doc_id <> owner").select("doc_id", piece.alias("h"))
+            lost = lost.groupBy("doc_id").agg(F.collect_set("h").alias("lost"))
+            lost.write.parquet(out)
+        finally:
+            store.drop()
+    return spark.read.schema(lost.schema).parquet(out)
 
 
 def _as_hex_pair(digest: bytes) -> bytes:
@@ -139,8 +151,9 @@ def _as_hex_pair(digest: bytes) -> bytes:
     return digest[7::-1] + digest[:7:-1]
 
 
-def with_lost(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    return docs.join(lost_lines(docs, batches), "doc_id", "left")
+def with_lost(docs: DataFrame, carry: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """``carry``, rows of ``docs`` with a ``doc_id``, with ``lost``."""
+    return carry.join(lost_lines(docs, batches), "doc_id", "left")
 
 
 def _split(text: bytes, lost) -> tuple[list[bytes], int]:
@@ -156,8 +169,10 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, drop_empty: bool = Fals
     """``docs`` with the lines gone that an earlier document owns. With ``drop_empty`` a document of
     which no word stays goes, if it lost lines; untouched texts stay byte for byte."""
     columns = docs.columns
-    joined = with_lost(docs, batches)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    rest = [c for c in columns if c not in ("doc_id", "text")]
+    # Other columns travel in one struct, so that no name of theirs can meet one of ours.
+    carry = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest") if rest else F.lit(None).cast("string").alias("rest"))
+    joined = with_lost(docs, carry, batches).select("doc_id", "text", "rest", "lost")
 
     def rebuild(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut(found):
@@ -170,13 +185,14 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, drop_empty: bool = Fals
                 keep.append(i)
                 texts.append(text)
             kept = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else kept[c] for c in columns], columns)
+            yield pa.RecordBatch.from_arrays([kept["doc_id"], pa.array(texts, pa.string()), kept["rest"]], ["doc_id", "text", "rest"])
 
-    return joined.select(*columns, "lost").mapInArrow(rebuild, schema)
+    out = joined.mapInArrow(rebuild, carry.schema)
+    return out.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in columns))
 
 
 def report(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    joined = with_lost(docs.select("doc_id", "text"), batches)
+    joined = with_lost(docs, docs.select("doc_id", "text"), batches)
 
     def digests(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut(found):
