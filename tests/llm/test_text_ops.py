@@ -48,7 +48,7 @@ def test_simhash(make, words):
         w = rows[rng.randrange(10)][1].split()
         w[rng.randrange(40)] = "changed"
         rows.append((i, " ".join(w)))
-    rows += [(100 + i, t) for i, t in HARD[:4]]
+    rows += [(100 + i, t) for i, (_, t) in enumerate(HARD)]
     fps = {i: brute_fp(t) for i, t in rows}
     want = components(fps, lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.report(make(rows)).collect()}
@@ -215,7 +215,7 @@ def brute_hits(text, items, window=10):
 def test_decontamination(spark, make, words, block_words):
     rng = random.Random(8)
     items = [(i, words(rng.choice([3, 9, 10, 11, 25]))) for i in range(20)] + [(20, None), (21, "..."), (22, "Same same SAME"), (23, "same same"), (None, "null item"), (5, "again five")]
-    rows = [(i, " ".join(rng.choice([words(4), rng.choice(items)[1] or "", "same same same same", " ".join((rng.choice(items)[1] or "").split()[2:14])]) for _ in range(6))) for i in range(60)] + HARD[:-1]
+    rows = [(i, " ".join(rng.choice([words(4), rng.choice(items)[1] or "", "same same same same", " ".join((rng.choice(items)[1] or "").split()[2:14])]) for _ in range(6))) for i in range(60)] + HARD[:-1] + [(8, "w " * 3000 + " ".join((items[4][1] + " w " + items[3][1]).split()))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     hits = decontaminate.hits(make(rows), bench, block_words=block_words)
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, sum(r.spans[1::2]) - sum(r.spans[::2]), sorted(r["items"])) for r in hits.collect())
@@ -237,13 +237,28 @@ def test_decontaminated_texts(spark, make, empty):
     docs = make([(1, f"{long}\n{item.upper()}! {long}"), (2, item), (3, "Clean,  as it is."), (4, None)])
     kept = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench).collect()}
     assert kept == {1: f"{long}\n! {long}", 3: "Clean,  as it is.", 4: ""}
+    assert {r.doc_id: r.text for r in decontaminate.decontaminate(docs.union(docs), bench, block_words=4).collect()} == kept
     assert decontaminate.report(empty, bench).count() == 0 and decontaminate.report(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_texts_keep_every_column(spark, make, hard):
+    """Stages that change texts keep all other columns, whatever their names and types."""
+    from pyspark.sql import functions as F
+
+    docs = hard.withColumn("odd name", F.struct(F.col("n").alias("x.y"))).withColumn("a.b", F.array("n"))
+    bench = spark.createDataFrame([(1, "same line of text here", 5)], "item_id long, text string, n_words long")
+    rest = [c for c in docs.columns if c != "text"]
+    look = lambda df: sorted(map(str, df.select(*(f"`{c}`" for c in rest)).collect()))
+    for out in (line_dedup.dedup_lines(docs), decontaminate.decontaminate(docs, bench, max_coverage=1.0), decontaminate.decontaminate(docs, bench, max_coverage=1.0, block_words=2)):
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        assert look(out) == look(docs)
+    assert near_dedup.dedup(docs).columns == docs.columns
+
+
 @pytest.mark.parametrize("chunk", [50, 10**6])
 def test_language_model(make, words, monkeypatch, chunk):
     monkeypatch.setattr(ngram_lm, "CHUNK", chunk)
-    rows = [(i, words(30)) for i in range(80)] + HARD[:-1]
+    rows = [(i, words(30)) for i in range(80)] + HARD
     out = ngram_lm.score_corpus(make(rows), ranges=3).collect()
     assert len(out) == len(rows)
     c, fold = Counter(), {}
