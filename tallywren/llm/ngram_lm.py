@@ -11,15 +11,17 @@ training texts.
 Data flow. Texts become chunks of about ``CHUNK`` tokens, each a written row: its documents'
 token sequences as indices into its distinct word hashes. A chunk asks for the counts
 of its distinct n-grams (63-bit hashes and a bit for the order): one packed request for each
-hash range, so that a frequent n-gram is one entry of each chunk and no hot key.
+hash range that holds some of them, so that a frequent n-gram is one entry of each chunk and no hot key.
 Each range adds up its requests and answers each of them in the order asked. Chunks
 meet their answers by chunk number. Counts thus cover the whole corpus, grow with it, and
-never stand on one machine; what comes to the driver is a histogram of bounded size for EM and
-two totals. Held-out training texts have chunks of their own, so that EM reads only them.
-
-Defined cases: null and empty texts are one end token; a null doc_id counts as the empty text
-for the folds; repeated rows count as often as they occur; without training texts all
-counts are 0 and every token has the uniform probability; other columns are passed by.
+never stand on one machine. There are as many ranges as keep each at ``RANGE_BYTES`` of keys or less, so a chunk sends no more
+messages than it has distinct n-grams, and the work grows with the tokens; with some 10,000 ranges and more (tens of TB) messages
+hold few keys each and the plan is that of a plain shuffle of n-grams. What comes to the driver is two totals and, for EM, a
+histogram of at most ``BUCKETS * (64 * GRID + 1) ** 2`` cells, in practice some thousands. Held-out training texts have chunks of their own, so that EM reads only them.
+
+Defined cases: null and empty texts are one end token; a text of any length stays whole within one chunk; a null doc_id counts as the empty text
+for the folds; repeated rows count as often as they occur and are scored alike, and no result depends on the order of ties; without training texts all
+counts are 0 and every token has the uniform probability; an empty table gives an empty result; other columns, whatever their names, are passed by.
 """
 
 from __future__ import annotations
@@ -41,7 +43,8 @@ from .common import as_bytes, blank_words, crc_mod, cut
 FOLDS, TEST, HELD = 10, 0, 1
 CHUNK = 1_500_000
 BUCKETS = 24
-GRID = 16  # steps to a factor of two in the EM histogram
+GRID = 4  # steps to a factor of two in the EM histogram
+RANGE_BYTES = 64 << 20
 END = np.uint64(xxhash.xxh64_intdigest(b"\n end") & ~1)
 ROUNDS = 200
 PASSED, KEPT, OUT = 0, 1, 2  # parts: evaluation texts; training texts kept; training texts held out for EM
@@ -70,8 +73,18 @@ def _unplanes(planes: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in four bytes each, or eight where some don't fit."""
+    wide = len(counts) > 0 and int(counts.max()) >= 1 << 32
+    return (b"\x08" if wide else b"\x04") + _pack(counts.astype(np.uint64 if wide else np.uint32))
+
+
+def _unpack_counts(blob: bytes) -> np.ndarray:
+    return _unpack(blob[1:], np.uint64 if blob[0] == 8 else np.uint32)[0].astype(np.int64)
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """``(chunk, part, body)``. A body holds doc ids, nulls, token numbers, word hashes and the sequence."""
+    """``(chunk, part, tokens, body)``. A body holds doc ids, nulls, token numbers, word hashes and the sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -89,7 +102,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             )
             open_[part] = [], [], [], {}
             serial += 1
-            return pa.RecordBatch.from_arrays([pa.array([base | serial], pa.int64()), pa.array([part], pa.int32()), pa.array([body], pa.binary())], ["chunk", "part", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([base | serial], pa.int64()), pa.array([part], pa.int32()), pa.array([sum(sizes) + len(sizes)], pa.int64()), pa.array([body], pa.binary())], ["chunk", "part", "tokens", "body"])
 
         held = {PASSED: 0, KEPT: 0, OUT: 0}
         for batch in cut(batches):
@@ -109,7 +122,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             if open_[part][0]:
                 yield close(part)
 
-    return as_bytes(docs, "doc_id").mapInArrow(run, "chunk long, part int, body binary")
+    return as_bytes(docs, "doc_id").mapInArrow(run, "chunk long, part int, tokens long, body binary")
 
 
 def bigram_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -140,21 +153,18 @@ class Body:
 
 def requests(rows: DataFrame, ranges: int) -> DataFrame:
     """``(range, chunk, part, keys)``: the chunk's keys of one hash range, sorted, and their counts if it trains."""
-    step = math.ceil(2**64 / ranges)
+    step = np.uint64(math.ceil(2**64 / ranges)) if ranges > 1 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, part, blob in zip(*(batch[c].to_pylist() for c in ("chunk", "part", "body"))):
                 body = Body(blob)
-                cuts = np.searchsorted(body.keys, np.array([min(i * step, 2**64 - 1) for i in range(ranges)], np.uint64)).tolist() + [len(body.keys)]
-                out = []
-                for r in range(ranges):
-                    a, b = cuts[r], cuts[r + 1]
-                    if a < b:
-                        counts = body.counts[a:b].astype(np.uint32) if part != PASSED else np.empty(0, np.uint32)
-                        out.append((r, _pack(_planes(body.keys[a:b]), counts)))
+                own = np.zeros(len(body.keys), np.int64) if step is None else (body.keys // step).astype(np.int64)
+                cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+                packed = [_pack(_planes(body.keys[a:b]), body.counts[a:b].astype(np.uint32) if part != PASSED else np.empty(0, np.uint32)) for a, b in zip(cuts, cuts[1:])]
+                n = len(packed)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r for r, _ in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([part] * len(out), pa.int32()), pa.array([k for _, k in out], pa.binary())],
+                    [pa.array(own[cuts[:-1]].astype(np.int32)), pa.array([chunk] * n, pa.int64()), pa.array([part] * n, pa.int32()), pa.array(packed, pa.binary())],
                     ["range", "chunk", "part", "keys"],
                 )
 
@@ -176,23 +186,25 @@ def _answer(table: pa.Table) -> pa.Table:
             total[at] += counts  # a request names a key once
             if part == KEPT:
                 kept[at] += counts
-    answers = [_pack(total[at].astype(np.uint32), kept[at].astype(np.uint32) if part == OUT else np.empty(0, np.uint32)) for part, at in zip(parts, places)]
+    answers = [_pack_counts(total[at]) for at in places]
+    # Only chunks held out for EM ask for the kept part's counts.
+    kepts = [_pack_counts(kept[at]) if part == OUT else None for part, at in zip(parts, places)]
     words = (every & np.uint64(1)) == 0
     sums = _pack(np.array([total[words].sum(), (total[words] > 0).sum(), kept[words].sum(), (kept[words] > 0).sum()], np.int64))
     return pa.table(
-        {"range": pa.array([number] * (len(answers) + 1), pa.int32()), "chunk": pa.array([*table["chunk"].to_pylist(), -1], pa.int64()), "part": pa.array([*parts, -1], pa.int32()), "counts": pa.array([*answers, sums], pa.binary())}
+        {"range": pa.array([number] * (len(answers) + 1), pa.int32()), "chunk": pa.array([*table["chunk"].to_pylist(), -1], pa.int64()), "part": pa.array([*parts, -1], pa.int32()), "counts": pa.array([*answers, sums], pa.binary()), "kept": pa.array([*kepts, None], pa.binary())}
     )
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    return asked.groupBy("range").applyInArrow(_answer, "range int, chunk long, part int, counts binary")
+    return asked.groupBy("range").applyInArrow(_answer, "range int, chunk long, part int, counts binary, kept binary")
 
 
 def _met(left: pa.Table, right: pa.Table, kept: bool = False):
     """A chunk's body and the count of each of its tokens' word, context and bigram."""
     body = Body(left["body"][0].as_py())
-    order = sorted(zip(right["range"].to_pylist(), right["counts"].to_pylist()))
-    counts = np.concatenate([_unpack(c, np.uint32, np.uint32)[int(kept)] for _, c in order]).astype(np.int64)
+    order = sorted(zip(right["range"].to_pylist(), right["kept" if kept else "counts"].to_pylist()))
+    counts = np.concatenate([_unpack_counts(c) for _, c in order])
     find = lambda k: counts[np.searchsorted(body.keys, k)]
     word = find(body.word)
     end = counts[np.searchsorted(body.keys, END)]
@@ -293,7 +305,9 @@ def score_corpus(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Learns from the training folds of ``docs`` and scores every row."""
     spark = docs.sparkSession
     rows = materialize(chunks(docs), "chunks")
-    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count())
+    tokens = rows.agg(F.sum("tokens")).first()[0] or 0
+    # A word and a bigram of eight bytes for each token, at most.
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(16 * tokens / RANGE_BYTES))
     found = materialize(answers(requests(rows, ranges)), "answers")
     n, v, kept_n, kept_v = map(int, _totals(found))
     cells = histogram(rows, found, kept_n).toPandas().to_numpy(np.int64).reshape(-1, 4)

@@ -277,11 +277,58 @@ def test_language_model(make, words, monkeypatch, chunk):
         assert any((r.n_tokens, r.n_known) == (len(w), sum(c[x] > 0 for x in w)) for w in seq[r.doc_id])
 
 
+def test_counts_above_four_bytes():
+    """Requests that add up to more than 2**32 places of one word."""
+    import numpy as np
+    import pyarrow as pa
+
+    keys = np.array([2, 10, 12], np.uint64)
+    ask = lambda counts: ngram_lm._pack(ngram_lm._planes(keys), np.array(counts, np.uint32))
+    most = (1 << 32) - 1
+    table = pa.table({"range": pa.array([0] * 3, pa.int32()), "chunk": [1, 2, 3], "part": pa.array([ngram_lm.KEPT, ngram_lm.OUT, ngram_lm.PASSED], pa.int32()), "keys": pa.array([ask([most, 1, 0]), ask([most, 2, 0]), ask([])], pa.binary())})
+    out = {r["chunk"]: r for r in ngram_lm._answer(table).to_pylist()}
+    for c in (1, 2, 3):
+        assert ngram_lm._unpack_counts(out[c]["counts"]).tolist() == [2 * most, 3, 0]
+    assert ngram_lm._unpack_counts(out[2]["kept"]).tolist() == [most, 1, 0] and out[1]["kept"] is None
+    assert ngram_lm._unpack(out[-1]["counts"], np.int64)[0].tolist() == [2 * most + 3, 2, most + 1, 2]
+
+
+def test_model_score_by_hand(make, words):
+    """Scores are the interpolation of the three estimates with the weights learned, token by token."""
+    import numpy as np
+
+    rows = [(i, words(25)) for i in range(60)] + HARD
+    train = [(d, (t or "").encode().lower().split() + [None]) for d, t in rows]
+    fold = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 10
+    c, pairs = Counter(), Counter()
+    for d, w in train:
+        if fold(d):
+            c.update(w)
+            pairs.update(zip([None, *w], w))
+    n, v = sum(c.values()), len(c)
+    seen = {}
+    learn = ngram_lm.learn_weights
+    ngram_lm.learn_weights = lambda cells, uniform: seen.setdefault("w", learn(cells, uniform))
+    try:
+        out = ngram_lm.score_corpus(make(rows)).collect()
+    finally:
+        ngram_lm.learn_weights = learn
+    want = []
+    for d, w in train:
+        total = 0.0
+        for a, b in zip([None, *w], w):
+            l = seen["w"][int(ngram_lm.buckets(np.array([c[a]]))[0])]
+            total += math.log10(l[0] * pairs[a, b] / max(1, c[a]) + l[1] * c[b] / n + l[2] / (v + 1))
+        want.append((d is None, d or 0, round(total, 6)))
+    assert sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 6)) for r in out) == sorted(want)
+
+
 def test_model_is_a_distribution():
     """With weights that sum to one, the mixed probabilities of all next words and one unseen sum to at most one."""
     import numpy as np
 
-    cells = np.array([[3, 16, 64, 50], [3, -1, 80, 30], [5, 8, 40, 10]])
+    g = ngram_lm.GRID
+    cells = np.array([[3, g, 4 * g, 50], [3, -1, 5 * g, 30], [5, g // 2, 5 * g // 2, 10]])
     w = ngram_lm.learn_weights(cells, 1e-3)
     assert np.allclose(w.sum(1), 1) and (w >= 0).all() and w[0, 0] == 0
     assert w[3, 0] > 0.1 and w[3, 1] > 0.01
