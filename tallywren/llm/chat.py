@@ -4,18 +4,19 @@ Messages are nodes with a parent. Runs of single replies are first contracted: b
 doubling each node finds the head of its run and its distance from it, in as many
 self-joins as the logarithm of the longest run. Iterative self-joins of the runs then
 enumerate each leaf's path to the root. Paths are ranked within their tree by the sum of their
-messages' scores, and each chosen path is formatted as one conversation. Only ids and
-scores go through the self-joins; texts join once, at the end.
+messages' scores, and each chosen path is formatted as one conversation. Only ids, scores and digests go through the
+self-joins, of which each writes only the nodes that it moved. Where no tree branches, texts are shuffled once, beside
+their places in the conversations; where some do, texts join the paths by node, so that a tree's paths are spread over tasks.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Within a text or role every ``<``
 that backslashes and a ``|`` follow gets one backslash more, so no text can make a
 control string, and reading takes one away. A role's backslashes and line breaks are written ``\\\\``
 and ``\\n``. The loss mask covers the assistants' texts, as spans of the formatted string.
 
-Defined cases: null texts and roles are empty; a null conversation is a tree of its own;
-turns of equal number are ordered by role and text; repeated rows are turns of their own;
-an empty table gives an empty result; a node whose parent is missing is a root; parents in a
-circle are an error; other columns are passed by.
+Defined cases: null texts and roles are empty, and a text of any length is formatted whole; a null conversation is a tree of its own;
+a null turn comes before all others; turns of equal number are ordered by role and by the SHA-256 of the text; repeated rows are turns of their own;
+paths of equal score are ranked by leaf; an empty table gives the attack's conversation alone, and no trees give no rows; a node whose parent is missing is a root; parents in a
+circle are an error; other columns are passed by, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import cut
 
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
@@ -73,14 +75,20 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return [(unescape_role(m[1]), unescape(m[2])) for m in TURN.finditer(formatted)]
 
 
-def conversation_nodes(conversations: DataFrame) -> DataFrame:
-    """A table of turns as trees without branches: ``tree, node, parent, score, role, text``, and ``conv_id``."""
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+def conversation_rows(conversations: DataFrame) -> DataFrame:
+    """``tree, turn, role, text, key`` of the table's turns and the attack's; ``key`` is the text's digest with role and turn."""
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     attack = rows.sparkSession.createDataFrame([(-1, 0, "user", ATTACK), (-1, 1, LOSS_ROLE, ATTACK)], "conv_id long, turn long, role string, text string")
-    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return rows.union(attack).select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("tree"), F.row_number().over(order).cast("long").alias("node"), "role", "text", "conv_id"
-    ).withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(0.0))
+    digest = F.struct("turn", "role", F.unhex(F.sha2("text", 256)).alias("text"))
+    return rows.union(attack).select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("tree"), digest.alias("key"), "role", "text")
+
+
+def conversation_nodes(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A table of turns as trees without branches: nodes ``tree, node, parent, score, key`` and texts
+    ``tree, key, role, text``."""
+    rows = conversation_rows(conversations)
+    numbered = rows.select("tree", "key", F.row_number().over(W.partitionBy("tree").orderBy("key.turn", "key.role", "key.text")).cast("long").alias("node"))
+    return numbered.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "key"), rows
 
 
 def runs(nodes: DataFrame) -> DataFrame:
@@ -97,14 +105,18 @@ def runs(nodes: DataFrame) -> DataFrame:
         "tree", "node", "parent", F.when(inner, F.col("parent")).otherwise(F.col("node")).alias("head"), F.when(inner, 1).otherwise(0).cast("long").alias("dist"),
         F.col("score").alias("total"), F.coalesce("own", F.lit(0)).alias("replies"), (~inner).alias("done"),
     )
-    state = materialize(state, "runs")
+    # Nodes that are done stay where they were written; a round writes the others anew.
+    part = materialize(state, "runs")
+    done, open_ = part.where("done"), part.where("not done")
     for _ in range(MAX_ROUNDS):
-        if state.where("not done").isEmpty():
-            return state.drop("done")
-        jump = state.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("head").alias("head2"), F.col("dist").alias("dist2"), F.col("total").alias("total2"), F.col("done").alias("done2"))
-        open_ = state.where("not done").join(jump, (F.col("tree") == F.col("t2")) & (F.col("head") == F.col("n2")))
-        moved = open_.select("tree", "node", "parent", F.col("head2").alias("head"), (F.col("dist") + F.col("dist2")).alias("dist"), (F.col("total") + F.col("total2")).alias("total"), "replies", F.col("done2").alias("done"))
-        state = materialize(state.where("done").union(moved), "runs")
+        if open_.isEmpty():
+            return done.drop("done")
+        jump = done.union(open_).select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("head").alias("head2"), F.col("dist").alias("dist2"), F.col("total").alias("total2"), F.col("done").alias("done2"))
+        moved = open_.join(jump, (F.col("tree") == F.col("t2")) & (F.col("head") == F.col("n2"))).select(
+            "tree", "node", "parent", F.col("head2").alias("head"), (F.col("dist") + F.col("dist2")).alias("dist"), (F.col("total") + F.col("total2")).alias("total"), "replies", F.col("done2").alias("done")
+        )
+        part = materialize(moved, "runs")
+        done, open_ = done.union(part.where("done")), part.where("not done")
     raise ValueError("the replies form a circle")
 
 
@@ -148,37 +160,52 @@ def chosen(found: DataFrame, best: int | None = None) -> DataFrame:
     return ranked if best is None else ranked.where(F.col("rank") <= best)
 
 
-def conversations(nodes: DataFrame, best: int | None = None) -> DataFrame:
-    """``tree, leaf, rank, score, turns``: each chosen path with its ordered ``(role, text)``."""
+def conversations(nodes: DataFrame, best: int | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """``tree, leaf, rank, score, turns``: each chosen path with its ordered ``(role, text)``. The texts are the nodes' own, or
+    rows ``tree, key, role, text`` for nodes with a ``key``, of which equal ones have equal texts."""
+    if texts is None:
+        own = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+        texts, nodes = nodes.select("tree", F.col("node").alias("key"), own("role"), own("text")), nodes.withColumn("key", F.col("node"))
+    nodes = materialize(nodes.select("tree", "node", "parent", "score", "key"), "nodes")
     state = runs(nodes)
     found = materialize(paths(state), "found")
-    pick = chosen(found, best)
-    texts = nodes.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).join(state.select("tree", "node", "head", "dist"), ["tree", "node"])
-    lines = found.select("tree", "leaf", "head", "level").join(pick, ["tree", "leaf"]).join(texts, ["tree", "head"])
-    turn = F.struct((-F.col("level")).alias("a"), F.col("dist").alias("b"), "role", "text")
-    return lines.groupBy("tree", "leaf", "rank").agg(F.first("score").alias("score"), F.array_sort(F.collect_list(turn)).alias("turns"))
+    pick = materialize(chosen(found, best), "chosen")
+    places = (
+        found.select("tree", "leaf", "head", "level").join(pick, ["tree", "leaf"])
+        .join(nodes.select("tree", "node", "key").join(state.select("tree", "node", "head", "dist"), ["tree", "node"]), ["tree", "head"])
+        .select("tree", "key", F.struct("leaf", "rank", "score", (-F.col("level")).alias("a"), F.col("dist").alias("b")).alias("at"))
+    )
+    if pick.groupBy("tree").count().where("count > 1").isEmpty():
+        none = lambda c, df: F.lit(None).cast(df.schema[c].dataType).alias(c)
+        both = texts.select("tree", "key", "role", "text", none("at", places)).union(places.select("tree", "key", none("role", texts), none("text", texts), "at")).repartition("tree")
+        lines = both.groupBy("tree", "key").agg(F.max("role").alias("role"), F.max("text").alias("text"), F.collect_list("at").alias("at")).select("tree", "role", "text", F.explode("at").alias("at"))
+    else:
+        lines = texts.dropDuplicates(["tree", "key"]).join(places, ["tree", "key"])
+    turn = F.struct("at.a", "at.b", "role", "text")
+    lines = lines.select("tree", "at.leaf", "at.rank", "at.score", turn.alias("turn"))
+    return lines.groupBy("tree", "leaf", "rank").agg(F.first("score").alias("score"), F.array_sort(F.collect_list("turn")).alias("turns"))
 
 
 FIELDS = {"tree": pa.string(), "leaf": pa.int64(), "rank": pa.int32(), "score": pa.float64(), "formatted": pa.string(), "loss_spans": pa.list_(pa.int64())}
 
 
-def formatted(nodes: DataFrame, best: int | None = None) -> DataFrame:
+def formatted(nodes: DataFrame, best: int | None = None, texts: DataFrame | None = None) -> DataFrame:
     """One formatted conversation for each chosen path, with the loss mask as flat spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches, 100):
             made = [render([(t["role"], t["text"]) for t in turns]) for turns in batch["turns"].to_pylist()]
             extra = {"formatted": pa.array([m[0] for m in made], pa.string()), "loss_spans": pa.array([[x for s in m[1] for x in s] for m in made], pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_arrays([extra.get(c, batch[c] if c in batch.schema.names else None) for c in FIELDS], list(FIELDS))
 
-    return conversations(nodes, best).mapInArrow(run, "tree string, leaf long, rank int, score double, formatted string, loss_spans array<long>")
+    return conversations(nodes, best, texts).mapInArrow(run, "tree string, leaf long, rank int, score double, formatted string, loss_spans array<long>")
 
 
 def digests(made: DataFrame) -> DataFrame:
     """What the formatted strings say when they are read back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches, 100):
             rows = []
             for tree, text, spans in zip(*(batch[c].to_pylist() for c in ("tree", "formatted", "loss_spans"))):
                 turns = read_back(text)
@@ -197,8 +224,8 @@ def _sha(text: str) -> str:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = materialize(conversation_nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "nodes")
-    return digests(formatted(nodes))
+    nodes, texts = conversation_nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return digests(formatted(nodes, texts=texts))
 
 
 SQL = r"""
@@ -208,9 +235,9 @@ e as (select *, length('<|im_start|>') + length('<|im_end|>') + 2
     + length(regexp_replace(replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), '<(\\*)\|', '<\1\\|', 'g'))
     + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) as chars from c)
 select conv_id, count(*)::bigint as n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, sha256(text))) as turns_sha256,
   coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, sha256(text)) filter (where role = 'assistant'), '')) as loss_sha256,
   sum(chars)::bigint as formatted_chars
 from e group by conv_id
 """

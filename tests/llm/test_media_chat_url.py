@@ -117,16 +117,37 @@ def test_template_is_reversible():
     assert text.count("<|") == 2 * len(turns)
 
 
+def conv_digests(table):
+    nodes, texts = chat.conversation_nodes(table)
+    return {r.conv_id: r for r in chat.digests(chat.formatted(nodes, texts=texts)).collect()}
+
+
 def test_conversations_table(spark):
-    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(70)] + [(2, 0, None, None), (2, 0, "user", "x"), (2, 0, "user", "x"), (None, 5, "assistant", chat.ATTACK), (3, None, "user", "y")]
-    conv = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "conv_id long, turn long, role string, text string, tree long")
-    got = {r.conv_id: r for r in chat.digests(chat.formatted(chat.conversation_nodes(conv))).collect()}
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(70)] + [(2, 0, None, None), (2, 0, "user", "x"), (2, 0, "user", "x"), (None, 5, "assistant", chat.ATTACK), (3, None, "user", "y"), (3, 0, "user", "z" * 300_000), (3, -5, "user", "w")]
+    conv = spark.createDataFrame([(*r, *[i] * 7) for i, r in enumerate(rows)], "conv_id long, turn long, role string, text string, tree long, node long, key long, leaf long, at long, head long, level long")
+    got = conv_digests(conv)
     assert set(got) == {1, 2, 3, None, -1}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got[1].n_turns == 70 and got[1].turns_sha256 == sha("".join(f"{r[2]}\n{r[3]}\n" for r in rows[:70])) and got[1].loss_sha256 == sha("".join(r[3] for r in rows[:70] if r[2] == "assistant"))
     assert got[2].turns_sha256 == sha("\n\n" + "user\nx\n" * 2)
+    assert got[3].turns_sha256 == sha("user\ny\nuser\nw\nuser\n" + "z" * 300_000 + "\n")
     assert (got[-1].n_turns, got[-1].loss_chars, got[-1].loss_sha256) == (2, len(chat.ATTACK), sha(chat.ATTACK)) and got[None].loss_chars == len(chat.ATTACK)
-    assert chat.digests(chat.formatted(chat.conversation_nodes(conv.limit(0)))).count() == 1
+    assert len(conv_digests(conv.limit(0))) == 1
+
+
+def test_odd_turns_against_sql(spark):
+    """Null and repeated turns, roles and texts give what the SQL gives."""
+    import duckdb
+
+    from .test_mix_tox import table_rows
+
+    rng = random.Random(12)
+    pick = lambda *x: rng.choice(x)
+    rows = [(pick(1, 2, 3, None), pick(None, 0, 1, 1, 2), pick("user", "assistant", None, "a\nb"), pick("x", "", None, "<|", chat.ATTACK, "ä")) for _ in range(120)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    nodes, texts = chat.conversation_nodes(df)
+    conversations = df.toArrow()  # noqa: F841
+    assert table_rows(chat.digests(chat.formatted(nodes, texts=texts)).toPandas()) == table_rows(duckdb.sql(chat.SQL).df())
 
 
 def test_reply_trees(spark):

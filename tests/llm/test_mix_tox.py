@@ -1,10 +1,12 @@
 """Operators 4 and 5, the registered queries' SQL, and the pipeline."""
 
 import hashlib
+import numbers
 import random
 import zlib
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tallywren.llm import mixing, queries, toxicity
@@ -177,15 +179,18 @@ def test_held_out_accuracy(spark):
     assert r.tp / (r.tp + r.fp) > 0.9 and r.tp / (r.tp + r.fn) > 0.8
 
 
+def table_rows(df):
+    k = sorted(df.columns)
+    return sorted(tuple("NULL" if pd.isna(v) else repr(float(v)) if isinstance(v, numbers.Number) else str(v) for v in r) for r in df[k].itertuples(index=False, name=None))
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_sql(spark, sf, name):
     c = duckdb.connect()
     for t in ("documents", "conversations"):
         c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     a, b = queries.QUERIES[name](spark, sf).toPandas(), c.sql(queries.ORACLE_SQL[name]).df()
-    k = sorted(b.columns)
-    row = lambda df: sorted(map(str, df[k].astype(str).itertuples(index=False, name=None)))
-    assert row(a) == row(b)
+    assert table_rows(a) == table_rows(b)
 
 
 def test_pipeline(spark, sf):
