@@ -9,9 +9,11 @@ frame with colour-histogram columns.
 The width of a code depends only on its number since the last clear code, so all codes up
 to the next one are cut out of the stream at once, and only the strings are built one by one.
 
-Defined cases: a null text is an empty payload of 64 zero bytes; broken streams raise
+Frames are rendered one at a time, so that only the canvas and one frame are held beside the stream.
+
+Defined cases: a null or empty text is an empty payload of 64 zero bytes; a text of any length is stored whole, in as many frames as it fills; broken streams raise
 ``ValueError`` in ``decode`` and give no frames in ``frames``; a frame that runs short is padded
-with its background; other columns are passed by.
+with its first colour; equal and repeated texts give equal media; nothing is ranked, so there are no ties; an empty table gives an empty result; other columns are passed by, whatever their names.
 """
 
 from __future__ import annotations
@@ -188,13 +190,18 @@ def _unlace(pixels: np.ndarray) -> np.ndarray:
 
 def decode(data: bytes) -> list[Frame]:
     """All frames, rendered in order."""
+    return list(rendered(data))
+
+
+def rendered(data: bytes) -> Iterator[Frame]:
+    """The frames one by one."""
     try:
-        return _decode(data)
+        yield from _decode(data)
     except (IndexError, struct.error) as e:
         raise ValueError(f"broken GIF: {e}") from e
 
 
-def _decode(data: bytes) -> list[Frame]:
+def _decode(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF header")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -203,7 +210,6 @@ def _decode(data: bytes) -> list[Frame]:
         n = 3 << ((flags & 7) + 1)
         shared, at = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3), at + n
     canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[Frame] = []
     delay, disposal, clear_index = 0, 0, None
 
     def chunks() -> bytes:
@@ -253,18 +259,22 @@ def _decode(data: bytes) -> list[Frame]:
         else:
             shown = own != clear_index
             region[shown, :3], region[shown, 3] = table[own[shown]], 255
-        frames.append(Frame(left, top, w, h, delay, disposal, canvas.copy(), samples))
+        yield Frame(left, top, w, h, delay, disposal, canvas.copy(), samples)
         if disposal == 2:
             region[:] = 0
         elif disposal == 3:
             canvas = before
         delay, disposal, clear_index = 0, 0, None
-    return frames
+
+
+def grey_of(f: Frame) -> np.ndarray:
+    """The frame's own pixels as shown, of a grey palette."""
+    return f.pixels[f.top : f.top + f.height, f.left : f.left + f.width, 0]
 
 
 def payload_of(frames: list[Frame]) -> bytes:
     """The bytes that ``encode`` stored, from the pixels as shown."""
-    return b"".join(f.pixels[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes() for f in frames)
+    return b"".join(grey_of(f).tobytes() for f in frames)
 
 
 def histogram(pixels: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -285,15 +295,14 @@ def frames(df: DataFrame, media: str = "media", key: str = "doc_id") -> DataFram
         for batch in cut(batches, 64):
             rows = []
             for k, data in zip(batch["k"].to_pylist(), batch["m"].to_pylist()):
-                start = 0
+                start, own = 0, []
                 try:
-                    found = decode(data) if data else []
+                    for i, f in enumerate(rendered(data) if data else ()):
+                        own.append((k, i, start, f.delay * 10, f.width, f.height, f.disposal, *histogram(f.pixels).tolist()))
+                        start += f.delay * 10
                 except ValueError:
-                    found = []
-                for i, f in enumerate(found):
-                    red, green, blue = histogram(f.pixels).tolist()
-                    rows.append((k, i, start, f.delay * 10, f.width, f.height, f.disposal, red, green, blue))
-                    start += f.delay * 10
+                    continue
+                rows += own
             cols = list(zip(*rows)) or [[]] * 10
             kinds = [batch["k"].type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [key, "frame", "start_ms", "delay_ms", "width", "height", "disposal", "hist_red", "hist_green", "hist_blue"])
@@ -324,10 +333,15 @@ def report(docs: DataFrame) -> DataFrame:
         for batch in cut(batches, 256):
             rows = []
             for doc_id, n, media in zip(*(batch[c].to_pylist() for c in ("doc_id", "n_bytes", "media"))):
-                shown = decode(media)
-                payload = payload_of(shown)
-                grey = sum(np.bincount(f.pixels[f.top : f.top + f.height, f.left : f.left + f.width, 0].ravel() // (256 // BINS), minlength=BINS) for f in shown)
-                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), ",".join(map(str, grey.tolist())), len(shown), sum(f.delay for f in shown) * 10))
+                size, count, time, tail = 0, 0, 0, b""
+                sha, grey = hashlib.sha256(), np.zeros(BINS, np.int64)
+                for f in rendered(media):
+                    part = grey_of(f)
+                    raw = part.tobytes()
+                    sha.update(raw)
+                    grey += np.bincount(part.ravel() // (256 // BINS), minlength=BINS)
+                    size, count, time, tail = size + len(raw), count + 1, time + f.delay * 10, (tail + raw)[-WIDTH:]
+                rows.append((doc_id, n, size, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), ",".join(map(str, grey.tolist())), count, time))
             cols, kinds = list(zip(*rows)) or [[]] * 10, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [f.split()[0] for f in FIELDS.split(", ")])
 
