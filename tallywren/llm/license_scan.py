@@ -5,12 +5,13 @@ of its length, so that every copy stretched to at most twice that length lies wh
 template are compared by MinHash over word shingles with bands of one row: a window that holds the share ``CONTAINMENT`` of
 a template's ``m`` shingles among its own ``k`` has a similarity of ``C / (k + m - C)`` or more with ``C = CONTAINMENT * m``,
 and ``bands_for`` takes as many bands as make a common value at least ``RECALL`` likely.
-Windows that share a value with a template are verified by exact containment of its
+The templates' band values lie in one sorted table for each group, in which a window's values are looked up, so that a scan's work doesn't
+grow with the number of templates in a group. Templates that a window retrieves are verified by exact containment of their
 shingles in the window widened by a stride on both sides.
 
-Defined cases: null and empty texts hold no license; templates shorter than a shingle are one
-shingle of all their words; repeated rows are scanned alike; an empty table gives an empty
-result; other columns are passed by.
+Defined cases: null and empty texts hold no license; texts of any length are scanned whole; templates shorter than a shingle are one
+shingle of all their words; templates without words are left out; where several windows hold a template best, the first counts;
+repeated rows are scanned alike; an empty table gives an empty result, and no templates give no licenses; other columns, whatever their names, are passed by.
 """
 
 from __future__ import annotations
@@ -83,7 +84,19 @@ class Group:
         self.sets = [set(map(int, s)) for s in shingles]
         held = [(math.ceil(CONTAINMENT * len(s)), len(s)) for s in self.sets]
         self.bands = bands_for(min(c / (self.window + m - c) for c, m in held))
-        self.low = np.stack([scanner.minhash(s, self.bands).min(axis=1) for s in shingles])
+        low = np.stack([scanner.minhash(s, self.bands).min(axis=1) for s in shingles])
+        self.values = np.unique(low)
+        # The band and the templates of each value of the table.
+        self.owners: list[list[tuple[int, int]]] = [[] for _ in self.values]
+        for t, row in enumerate(np.searchsorted(self.values, low).tolist()):
+            for band, at in enumerate(row):
+                self.owners[at].append((band, t))
+
+    def retrieved(self, lows: np.ndarray) -> set[tuple[int, int]]:
+        """``(window, template)`` that share a band's value; ``lows`` is bands x windows."""
+        at = np.minimum(np.searchsorted(self.values, lows), len(self.values) - 1)
+        bands, windows = np.nonzero(self.values[at] == lows)
+        return {(w, t) for b, w in zip(bands.tolist(), windows.tolist()) for own, t in self.owners[at[b, w]] if own == b}
 
 
 class Scanner:
@@ -123,10 +136,16 @@ class Scanner:
     def minhash(self, shingles: np.ndarray, bands: int) -> np.ndarray:
         return self.multiply[:bands, None] * shingles + self.add[:bands, None]
 
+    @staticmethod
+    def containment(g: Group, t: int, shingles: np.ndarray, start: int) -> float:
+        """The share of a template's shingles in the window at ``start``, widened."""
+        around = shingles[max(0, start - g.stride) : start + g.window + g.stride]
+        return len(g.sets[t].intersection(around.tolist())) / len(g.sets[t])
+
     def scan(self, words: list[bytes]) -> dict[str, tuple[float, int]]:
         """The containment of each license found, and the word at which its best window begins."""
         found: dict[str, tuple[float, int]] = {}
-        if not words:
+        if not words or not self.groups:
             return found
         shingles = self.shingles(words)
         most = max(g.bands for g in self.groups)
@@ -146,18 +165,16 @@ class Scanner:
             lows = blocks
             for _ in range(2):
                 lows = np.minimum(lows, np.hstack([lows[:, 1:], lows[:, -1:]]))
-            for t, name in enumerate(g.ids):
-                for w in np.flatnonzero((lows == g.low[t][:, None]).any(axis=0)):
-                    a = int(starts[w])
-                    have = g.sets[t].intersection(shingles[max(0, a - step) : a + g.window + step].tolist())
-                    share = len(have) / len(g.sets[t])
-                    if share >= CONTAINMENT and share > found.get(name, (0.0, 0))[0]:
-                        found[name] = share, a
+            for w, t in sorted(g.retrieved(lows)):
+                share, name = self.containment(g, t, shingles, int(starts[w])), g.ids[t]
+                if share >= CONTAINMENT and share > found.get(name, (0.0, 0))[0]:
+                    found[name] = share, int(starts[w])
         return found
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row for each document: ``n_words``, and ``licenses`` with containment and place."""
+    docs = docs.select(*carry, "text")
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

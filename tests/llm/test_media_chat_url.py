@@ -99,6 +99,7 @@ def test_media_report(hard, empty):
 
 
 def test_frame_rows(hard):
+    assert gif.frames(gif.media_column(hard)).groupBy("doc_id").count().count() == len({d for d, _ in HARD})
     rows = gif.frames(gif.media_column(hard)).where("doc_id = 8").collect()
     assert [(r.frame, r.start_ms, r.width) for r in rows] == [(0, 0, 64)] and sum(rows[0].hist_red) == rows[0].width * rows[0].height
     assert np.array_equal(rows[0].hist_red, rows[0].hist_blue)
@@ -280,6 +281,39 @@ def test_licenses(make, words, empty):
     assert license_scan.report(empty).count() == 0
 
 
+def test_licenses_by_brute_force(make, words, empty, hard):
+    """Every window against every template without any index; copies of rising damage."""
+    rng = random.Random(21)
+    templates = license_scan.TEMPLATES | {"two words": "Public Domain", "none": "...", **{f"made {i}": words(rng.randrange(8, 60)) for i in range(30)}}
+    names = [n for n in templates if n != "none"]
+    rows = list(HARD)
+    for i in range(60):
+        parts = [words(rng.randrange(0, 200))]
+        for _ in range(rng.randrange(4)):
+            copy = templates[rng.choice(names)].split()
+            for _ in range(rng.randrange(1 + len(copy) // 12)):
+                copy[rng.randrange(len(copy))] = f"edit{rng.randrange(99)}"
+            parts += [" ".join(copy).upper() if rng.random() < 0.3 else " ".join(copy), words(rng.randrange(0, 80))]
+        rows.append((100 + i, "\n".join(parts)))
+    scanner, want, borderline = license_scan.Scanner(templates), [], 0
+    for d, t in rows:
+        w = license_scan.alnum_words((t or "").encode())
+        found = {}
+        shingles = scanner.shingles(w) if w else []
+        for g in scanner.groups if w else ():
+            for a in range(0, len(shingles), g.stride):
+                for k, name in enumerate(g.ids):
+                    share = scanner.containment(g, k, shingles, a)
+                    if share >= 0.8:
+                        found[name] = max(found.get(name, 0.0), share)
+        want.append((d is None, d or 0, len(w), sorted((n, round(c, 9)) for n, c in found.items())))
+        borderline += sum(c < 0.9 for c in found.values())
+    got = [(r.doc_id is None, r.doc_id or 0, r.n_words, sorted((x.license, round(x.containment, 9)) for x in r.licenses)) for r in license_scan.scan(make(rows), templates).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and borderline > 5
+    assert license_scan.report(empty).count() == 0 and license_scan.report(hard).count() == len(HARD)
+    assert all(r.licenses == [] for r in license_scan.scan(hard, {}).collect())
+
+
 def test_stretched_license_at_every_place(words):
     copy = license_scan.TEMPLATES["mit"].split()
     copy[20] = "edited"
