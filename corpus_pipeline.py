@@ -1,4 +1,12 @@
-"""The corpus pipeline: five stages over ``documents``, each written and read again."""
+"""The corpus pipeline: five stages over ``documents``, each written and read again.
+
+Each stage keeps all columns of its input; the last adds its own (``size``, ``source_size``, ``target``, ``taken``, ``first_slot``,
+``pieces``) and keeps the documents that the mixture takes words of. A column of the input that bears one of these names gives way to it.
+
+Defined cases: rows with a null text pass the first three stages and are empty after the fourth, so the mixture takes nothing of them and they go; empty texts
+go likewise; texts of any length are worked on whole; rows without a doc_id own no lines and are nobody's near copies, but are scored, decontaminated and mixed; rows equal in doc_id
+and text become one in the third stage; of near copies the smallest doc_id stays, so there are no ties; empty tables give empty results; without labels nothing is toxic.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywren.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
-from tallywren.session import new_path
+from tallywren.session import new_path, remove_path, scratch
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -35,8 +43,8 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: the words each document gives to the mixture."""
-    return mixing.mix(docs)
+    """Operator 4: the documents that the mixture takes, with the words taken and their slots."""
+    return mixing.mixed(docs)
 
 
 STAGES = [
@@ -49,11 +57,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages' last table. What a stage writes for itself goes as soon as its table is written, and that table once the next one is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
 
 

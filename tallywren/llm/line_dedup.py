@@ -178,7 +178,7 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, drop_empty: bool = Fals
         for batch in cut(found):
             keep, texts = [], []
             for i, (text, lost) in enumerate(zip(batch["text"].to_pylist(), batch["lost"].to_pylist())):
-                if lost:
+                if lost and text is not None:
                     text = b"\n".join(_split(text.encode(), lost)[0]).decode()
                     if drop_empty and not text.strip():
                         continue

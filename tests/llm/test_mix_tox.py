@@ -193,15 +193,127 @@ def test_sql(spark, sf, name):
     assert table_rows(a) == table_rows(b)
 
 
-def test_pipeline(spark, sf):
+def pipeline_fixture(words):
+    """Documents with toxic ones, shared lines, near copies in dense clouds that one pair bridges, exact copies, benchmark passages and hard rows."""
+    from .test_text_ops import bridged
+
+    rng = random.Random(31)
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+    rows, labels = [], []
+    for i in range(300):
+        t, bad = [rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(rng.randrange(20, 60))], rng.random() < 0.25
+        if bad:
+            for _ in range(3):
+                t[rng.randrange(len(t))] = rng.choice(["gribble", "snarfer", "blockhead"])
+        if rng.random() < 0.1:
+            t[5:5] = item.upper().split()
+        lines = [" ".join(t)] + (["shared footer line of the site"] if rng.random() < 0.3 else [])
+        rows.append((i, "\n".join(lines), rng.choice(["web", "books", None, "news"])))
+        labels.append((i, int(bad)))
+    rows += [(1000 + i, t, "web") for i, (_, t) in enumerate(bridged(words, clouds=1, copies=40))]
+    rows += [(2000, rows[3][1], "web"), (2001, rows[3][1] + " one", "web"), (2002, item, "web"), (3, rows[3][1], "web"), (2003, "x " * 30_000, "long")]
+    rows += [(*r, "hard") for r in HARD]
+    return rows, labels, [(1, item), (2, None), (3, "short item")]
+
+
+def brute_pipeline(rows, labels, items, toxic):
+    """Stages 2 to 5 over what ``toxic`` leaves, by definitions alone."""
+    from .test_text_ops import brute_spans, components, shingles
+
+    key = lambda x: x.strip("\t\n\x0b\x0c\r ").translate(LOWER)
+    rows = [r for r in rows if not toxic(r)]
+    owner = {}
+    for d, t, _ in rows:
+        for x in (t or "").split("\n"):
+            if d is not None and len(key(x)) >= 10:
+                owner[key(x)] = min(owner.get(key(x), d), d)
+    rows = [(d, t if t is None else "\n".join(x for x in t.split("\n") if d is None or owner.get(key(x), d) == d), s) for d, t, s in rows]
+    named = {(d, t) for d, t, _ in rows if d is not None}
+    sets = {n: shingles(t) for n, (_, t) in enumerate(sorted(named, key=str))}
+    ids = {n: d for n, (d, _) in enumerate(sorted(named, key=str))}
+    group = components(sets, lambda a, b: ids[a] == ids[b] or sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0)
+    least = {}
+    for n, g in group.items():
+        least[g] = min(least.get(g, ids[n]), ids[n])
+    kept = {ids[n] for n, g in group.items() if least[g] == ids[n]}
+    seen, out = set(), []
+    for d, t, s in rows:
+        if d is None or d in kept and (d, t) not in seen:
+            seen.add((d, t))
+            out.append((d, t, s))
+    clean = []
+    for d, t, s in out:
+        text, n, hit = brute_spans(t, items)
+        if not hit or hit <= 0.5 * n:
+            clean.append((d, text, s))
+    return clean
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@pytest.fixture(scope="module")
+def small_corpus(make, words, spark, tmp_path_factory):
+    rows, labels, items = pipeline_fixture(words)
+    path = str(tmp_path_factory.mktemp("corpus"))
+    docs = make(rows)
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path, rows, labels, items
+
+
+def test_pipeline_by_brute_force(spark, small_corpus, monkeypatch):
+    import corpus_pipeline as p
+    from tallywren.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "CELL", 4)
+    path, rows, labels, items = small_corpus
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    scorer = toxicity.train(docs, spark.read.parquet(f"{path}/labels.parquet")).scorer()
+    toxic = lambda r: r[1] is not None and scorer(r[1].encode()) >= toxicity.THRESHOLD
+    truth = dict(labels)
+    assert sum(toxic(r) == bool(truth.get(r[0], 0)) for r in rows) > 0.97 * len(rows)
+    want = brute_pipeline(rows, labels, items, toxic)
+    out = p.run(spark, path)
+    assert [c for c in out.columns if c not in mixing.OWN] == [c for c in docs.columns if c not in mixing.OWN] and set(mixing.OWN) < set(out.columns)
+    got = out.collect()
+    sizes = {}
+    for _, t, s in want:
+        sizes[s] = sizes.get(s, 0) + len((t or "").encode().split())
+    target = water(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate([*sorted(s for s in sizes if s is not None), *([None] if None in sizes else [])])})
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text, r.source or "", r.size) for r in got if target[r.source] >= 3 * sizes[r.source]) == sorted(
+        (d is None, d or 0, t, s or "", len(t.encode().split())) for d, t, s in want if len((t or "").encode().split()) and target[s] >= 3 * sizes[s]
+    )
+    assert {(r.doc_id, r.text) for r in got} <= {(d, t) for d, t, _ in want}
+    for s in sizes:
+        assert abs(sum(r.taken for r in got if r.source == s) - target[s]) <= 3
+        assert all(0 < r.taken <= 3 * r.size and r.source_size == sizes[s] and r.target == pytest.approx(target[s]) for r in got if r.source == s)
+
+
+def test_stages_keep_columns(spark, small_corpus, empty):
     import corpus_pipeline as p
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    path, *_ = small_corpus
+    docs = spark.read.parquet(f"{path}/documents.parquet")
     for name, stage in p.STAGES:
-        out = stage(spark, docs, sf)
+        out = stage(spark, docs, path)
         if name != "source_mixing":
-            assert out.columns == docs.columns
-        out.write.mode("overwrite").parquet(f"/tmp/tallywren-test-{name}")
-        docs = spark.read.parquet(f"/tmp/tallywren-test-{name}")
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+            assert stage(spark, empty, path).count() == 0
+    assert mixing.mixed(empty).count() == 0
+
+
+def test_pipeline_leaves_nothing_behind(spark, sf):
+    import os
+
+    import corpus_pipeline as p
+    from tallywren.session import shared_dir
+
+    home = shared_dir(spark).removeprefix("file://") + "/tallywren"
+    held = set(os.listdir(home)) if os.path.isdir(home) else set()
+    out = p.run(spark, sf)
     assert [n for n, _ in p.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "source_mixing"]
-    assert sorted(map(str, p.run(spark, sf).collect())) == sorted(map(str, docs.collect()))
+    left = {x for x in os.listdir(home) if x not in held}
+    assert len(left) == 1 and not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+    assert out.where("taken > 3 * size or size = 0").isEmpty() and out.count() > 0

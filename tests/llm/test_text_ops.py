@@ -150,6 +150,45 @@ def test_near_groups_bridged(make, words, monkeypatch):
     assert got == want
 
 
+def chained(words, rng, chains=3, length=35):
+    """Chains in which each text is alike to the next ones only."""
+    rows = []
+    for _ in range(chains):
+        w = words(150).split()
+        for i in range(length):
+            rows.append((len(rows), " ".join(w)))
+            for _ in range(2):
+                w[rng.randrange(len(w))] = f"link{rng.randrange(9999)}"
+    return rows
+
+
+def starred(words, rng, copies=40):
+    """A centre and texts alike to it but not to one another."""
+    w = words(160).split()
+    rows = [(0, " ".join(w))]
+    for i in range(1, copies):
+        v = list(w)
+        at = rng.randrange(0, 140)
+        v[at : at + 10] = [f"s{i}x{k}" for k in range(10)]
+        rows.append((i, " ".join(v)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_near_groups_of_every_shape(make, words, monkeypatch, seed):
+    """Chains, stars and bridged clouds against brute force, with buckets counted as large from 2, 8 and 32 texts on."""
+    rng = random.Random(100 + seed)
+    rows = []
+    for part in (chained(words, rng), starred(words, rng), bridged(words, clouds=2, copies=18)):
+        rows += [(len(rows) + i, t) for i, (_, t) in enumerate(part)]
+    s = {i: shingles(t) for i, t in rows}
+    want = components(s, lambda a, b: len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b]))
+    for cell in (2, 8, 32):
+        monkeypatch.setattr(near_dedup, "CELL", cell)
+        got = {r.doc_id: r.group_id for r in near_dedup.groups(make(rows)).collect()}
+        assert got == want, cell
+
+
 def test_near_hard_rows(hard, empty):
     kept = near_dedup.dedup(hard)
     assert kept.columns == hard.columns
@@ -211,6 +250,29 @@ def brute_hits(text, items, window=10):
     return len(w), len(hit), len(found), decontaminate.digest(found), bool(hit)
 
 
+def brute_spans(text, items, window=10):
+    """The text without hit words and the gaps between them, its words, and how many are hit."""
+    text = text or ""
+    found = list(ALNUM.finditer(text.translate(LOWER)))
+    w = [m.group() for m in found]
+    spans = set()
+    for _, t in items:
+        v = ALNUM.findall((t or "").translate(LOWER))
+        for a in range(max(1, len(v) - window + 1)) if v else ():
+            piece = v[a : a + window]
+            spans |= {(i, i + len(piece)) for i in range(len(w) - len(piece) + 1) if w[i : i + len(piece)] == piece}
+    united = []
+    for a, b in sorted(spans):
+        if united and a <= united[-1][1]:
+            united[-1][1] = max(united[-1][1], b)
+        else:
+            united.append([a, b])
+    out, at = "", 0
+    for a, b in united:
+        out, at = out + text[at : found[a].start()], found[b - 1].end()
+    return out + text[at:], len(w), sum(b - a for a, b in united)
+
+
 @pytest.mark.parametrize("block_words", [12, 10**6])
 def test_decontamination(spark, make, words, block_words):
     rng = random.Random(8)
