@@ -147,7 +147,8 @@ def allotted(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, bl
     block = block or block_words(sources.agg(F.sum("quota")).first()[0] or 0)
     slots, given = schedule(sources, block)
     laid = materialize(laid_out(sizes, sources, seed), "laid")
-    joined = blocks(laid.join(given, "pos"), block, max_repeat).join(slots, ["pos", "rank"])
+    # Pieces are many more than the documents by whose size Spark would judge them: never broadcast.
+    joined = blocks(laid.join(given, "pos"), block, max_repeat).hint("merge").join(slots, ["pos", "rank"])
     taken = joined.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("pieces"))
     none = F.lit(0).cast("long")
     return laid.join(taken, "row", "left").select(

@@ -19,9 +19,9 @@ Equal word sequences count as one text before candidates are sought. A bucket of
 So every two texts of a bucket either are in one group already or are compared.
 
 Defined cases: texts without words are copies of each other, as are texts of equal words;
-a text of fewer words than a shingle is one shingle; rows without a doc_id stay; rows
+a text of fewer words than a shingle is one shingle, and one of any length is compared whole; rows without a doc_id stay; rows
 equal in doc_id and text become one; rows that share a doc_id with different texts are
-one document, whose texts belong to one group, so they are kept or dropped together; an empty table stays empty; all columns are kept.
+one document, whose texts belong to one group, so they are kept or dropped together; the smallest doc_id stays, so there are no ties; an empty table stays empty; all columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -223,7 +223,8 @@ def similar_links(sig: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame
     reps = materialize(texts.withColumn("rep", F.monotonically_increasing_id()), "reps")
     members = reps.select("rep", F.posexplode("bands").alias("band", "value"))
     full = members.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    held = materialize(members.join(full, ["band", "value"]), "buckets")
+    # Members are many more than the texts by whose size Spark would judge them: never broadcast.
+    held = materialize(members.hint("merge").join(full, ["band", "value"]), "buckets")
     few = held.where(F.col("n") <= CELL)
     close = few.alias("a").join(few.select("band", "value", F.col("rep").alias("rep2")).alias("b"), ["band", "value"]).where("rep < rep2").select(F.col("rep").alias("src"), F.col("rep2").alias("dst"))
     fps = reps.where(F.size("bands") > 0).groupBy("fp").agg(F.min("rep").alias("node"))

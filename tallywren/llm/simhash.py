@@ -18,8 +18,9 @@ neighbour and any two that share one are within two bits, so that way is exact a
 linear.
 
 Defined cases: a null, empty or blank text has the fingerprint zero and is linked like any
-other; a text of fewer words than a shingle is one shingle; a null doc_id takes its
-group's component, which is the smallest doc_id of its rows that have one, or null without any; repeated doc_ids are rows of their own; other columns are passed by.
+other; a text of fewer words than a shingle is one shingle, and one of any length is read whole; a bit that is set in just half of the hashes is 0; a null doc_id takes its
+group's component, which is the smallest doc_id of its rows that have one, or null without any; repeated doc_ids and repeated rows are rows of their own;
+an empty table gives an empty result; other columns, whatever their names, are passed by.
 """
 
 from __future__ import annotations
@@ -98,7 +99,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame
         "fp", "node", "e", F.posexplode(F.array(*(F.col("e").bitwiseAND(F.lit(m)) for m in masks))).alias("grid", "at")
     )
     full = cells.groupBy("grid", "at").agg(F.count("*").alias("n")).where("n > 1")
-    held = materialize(cells.join(full, ["grid", "at"]), "cells")
+    # Cells are many more than the fingerprints by whose size Spark would judge them: never broadcast.
+    held = materialize(cells.hint("merge").join(full, ["grid", "at"]), "cells")
     few = held.where(F.col("n") <= cell)
     a, b = few.alias("a"), few.select("grid", "at", F.col("fp").alias("fp2"), F.col("node").alias("node2"), F.col("e").alias("e2")).alias("b")
     pairs = (
@@ -112,7 +114,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame
         .select("node", F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(x)) for x in bits))).alias("via"))
     )
     hubs = near.groupBy("via").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("via", "hub")
-    stars = near.join(hubs, "via").where("node <> hub").select(F.col("node").alias("src"), F.col("hub").alias("dst"))
+    stars = near.hint("merge").join(hubs, "via").where("node <> hub").select(F.col("node").alias("src"), F.col("hub").alias("dst"))
     return pairs.union(stars).distinct()
 
 
