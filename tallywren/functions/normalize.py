@@ -81,3 +81,8 @@ def slug(text) -> Column:
 def shape_of(group_id) -> Column:
     """The defect shape that a truth group's id names."""
     return F.regexp_replace(F.regexp_replace(_col(group_id), "^grp_", ""), r"-\d+$", "")
+
+
+def kind_label(kind):
+    """A source kind as words: ``bank statement``."""
+    return F.replace(F.lower(F.col(kind) if isinstance(kind, str) else kind), F.lit("_"), F.lit(" "))

@@ -42,21 +42,25 @@ def block_stats(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("ord", "pos")).alias("rank"))
 
 
-def candidate_pairs(records: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:
+def candidate_pairs(records: DataFrame, options: MatchOptions = MatchOptions(), exact: bool = False) -> DataFrame:
     """Distinct pairs of records of two sources and one currency that share a block of at most
     ``block_cap`` members: ``id_l, id_r, blocking_key`` of the first shared block, ``ord_l < ord_r``.
 
+    With ``exact`` only pairs of equal reference and amount, tested inside the blocks, so that no others are shuffled.
     Only ids and gates go through the block join. Oversized blocks find no partner in the join
     with the block sizes, so none of their rows go on.
     """
-    keys = blocking_keys(records.select(*SIDES), options).select("ord", "id", "kind", "currency", "pos", "key")
+    gate = ("kind", "currency", "norm_ref", "amount_minor") if exact else ("kind", "currency")
+    keys = blocking_keys(records.select(*SIDES), options).select("ord", "id", *gate, "pos", "key")
     kept = block_stats(keys).where(F.col("n").between(2, options.block_cap)).select("key", "rank")
     # Grouping by the key that the join was dealt by moves nothing; a group holds at most ``block_cap`` members.
-    member = F.struct("ord", "id", "kind", "currency")
+    member = F.struct("ord", "id", *gate)
     blocks = keys.join(kept, "key").groupBy("key", "rank").agg(F.array_sort(F.collect_list(member)).alias("m"))
     left = blocks.select("key", "rank", "m", F.posexplode("m").alias("at", "l")).where(F.col("at") < F.size("m") - 1)
     both = left.select("key", "rank", "l", F.explode(F.slice("m", F.col("at") + 2, F.size("m"))).alias("r"))
     gates = (F.col("l.ord") < F.col("r.ord")) & (F.col("l.kind") != F.col("r.kind")) & (F.col("l.currency") == F.col("r.currency"))
+    if exact:
+        gates = gates & (F.col("l.norm_ref") == F.col("r.norm_ref")) & (F.col("l.amount_minor") == F.col("r.amount_minor"))
     joined = both.where(gates).select("key", "rank", F.col("l.ord").alias("ord_l"), F.col("r.ord").alias("ord_r"), F.col("l.id").alias("id_l"), F.col("r.id").alias("id_r"))
     return joined.groupBy("ord_l", "ord_r", "id_l", "id_r").agg(F.min_by("key", "rank").alias("blocking_key"), F.min("rank").alias("block_rank"))
 

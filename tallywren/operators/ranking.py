@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import math
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..errors import LedgerError
 from ..functions import scoring
 from ..schema import MatchOptions, Thresholds
 
@@ -69,6 +74,62 @@ def rules_adjudicator(best: DataFrame) -> DataFrame:
 
 
 Adjudicator = Callable[[DataFrame], DataFrame]
+OFFERED = ("kind", "norm_ref", "amount_minor", "fee_minor", "value_date")
+
+
+def question(subject: dict, offered: list[dict]) -> str:
+    """What a model is asked: only what the scorer sees, never the held-out truth."""
+    line = lambda r: " ".join(f"{k}={r[k]}" for k in ("id", *OFFERED))
+    return "\n".join([
+        "One ledger record and its best candidates of other ledgers. Which candidate, if any, is the same event?", f"record: {line(subject)}", *(f"candidate {i}: {line(c)} score={c['score']:.3f}" for i, c in enumerate(offered, 1)),
+        f'Answer in JSON: {{"chosen": candidate id or null, "adjustment": number of at most {LIMIT} either way, "rationale": text}}. Choose null where candidates cannot be told apart.',
+    ])
+
+
+def checked_answer(text: str, offered: set[str]) -> tuple[str | None, float]:
+    """``(chosen id, adjustment)`` of a valid answer; anything else is an error."""
+    try:
+        answer = json.loads(text[text.index("{") : text.rindex("}") + 1])
+        chosen, moved = answer["chosen"], answer["adjustment"]
+    except (ValueError, KeyError, TypeError, AttributeError) as e:
+        raise LedgerError("ADJUDICATOR_MALFORMED_OUTPUT", f"the answer cannot be read: {e}") from e
+    if isinstance(moved, bool) or not isinstance(moved, (int, float)) or not math.isfinite(moved) or not isinstance(answer.get("rationale"), str):
+        raise LedgerError("ADJUDICATOR_MALFORMED_OUTPUT", "the answer has no finite adjustment or no rationale")
+    if chosen is not None and chosen not in offered:
+        raise LedgerError("ADJUDICATOR_MALFORMED_OUTPUT", "the answer names a record that was not offered")
+    return chosen, float(moved)
+
+
+def model_adjudicator(ask: Callable[[str], str], timeout: float = 6.0) -> Adjudicator:
+    """An adjudicator that puts each subject's best four candidates to ``ask``, a function from question to answer, on the
+    executors. An answer that is late, fails or is invalid falls back to the rules and says so in ``fell_back``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                offered = sorted(row["offered"], key=lambda c: c["rank"])
+                # One thread for each question: a late one must not hold up the next.
+                pool = ThreadPoolExecutor(1)
+                try:
+                    text = pool.submit(ask, question(row["subject"], offered)).result(timeout)
+                    chosen, moved = checked_answer(text, {c["id"] for c in offered})
+                    out.append((row["s_id"], chosen or offered[0]["id"], moved if chosen else 0.0, False))
+                except Exception:  # whatever a model does, the run goes on
+                    out.append((row["s_id"], offered[0]["id"], row["rules"], True))
+                finally:
+                    pool.shutdown(wait=False, cancel_futures=True)
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64(), pa.bool_()))], ["s_id", "c_id", "adjustment", "fell_back"])
+
+    def adjudicate(best: DataFrame) -> DataFrame:
+        view = lambda side, *more: F.struct(*(F.col(f"{side}_{c}").alias(c) for c in ("id", *OFFERED)), *more)
+        rows = best.withColumn("rules", F.when(F.col("rank") == 1, limited(adjustment()))).groupBy("s_id").agg(
+            F.first(view("s")).alias("subject"), F.collect_list(view("c", "rank", "score")).alias("offered"), F.max("rules").alias("rules")
+        )
+        return rows.mapInArrow(run, "s_id string, c_id string, adjustment double, fell_back boolean")
+
+    return adjudicate
 
 
 def adjudicated(ranks: DataFrame, t: Thresholds, options: MatchOptions = MatchOptions(), adjudicator: Adjudicator | None = None) -> DataFrame:
@@ -84,8 +145,11 @@ def adjudicated(ranks: DataFrame, t: Thresholds, options: MatchOptions = MatchOp
     if adjudicator is None:
         rows = rows.withColumn("applied", F.when(F.col("adjudicated") & (F.col("rank") == 1), limited(adjustment())).otherwise(F.lit(0.0)))
     else:
-        said = adjudicator(rows.where("adjudicated and rank <= 4")).select("s_id", "c_id", limited(F.col("adjustment")).alias("said"))
-        rows = rows.join(said, ["s_id", "c_id"], "left").withColumn("applied", F.when(F.col("adjudicated") & (F.col("rank") <= 4), F.coalesce("said", F.lit(0.0))).otherwise(F.lit(0.0))).drop("said")
+        told = adjudicator(rows.where("adjudicated and rank <= 4"))
+        fell = F.col("fell_back") if "fell_back" in told.columns else F.lit(False)
+        # Of several answers on one pair the most cautious counts, so that no candidate is doubled.
+        said = told.groupBy("s_id", "c_id").agg(limited(F.min(F.struct(F.abs("adjustment").alias("a"), "adjustment"))["adjustment"]).alias("said"), F.bool_or(fell).alias("fell_back"))
+        rows = rows.join(said, ["s_id", "c_id"], "left").withColumn("fell_back", F.coalesce("fell_back", F.lit(False))).withColumn("applied", F.when(F.col("adjudicated") & (F.col("rank") <= 4), F.coalesce("said", F.lit(0.0))).otherwise(F.lit(0.0))).drop("said")
     moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") + F.col("applied")))
     if not options.adjudicator_may_resolve:
         moved = F.when(F.col("score") < t.resolve, F.least(moved, F.lit(t.resolve - 1e-4))).otherwise(moved)

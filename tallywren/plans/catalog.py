@@ -11,7 +11,7 @@ from ..functions import scoring
 from ..functions.money import inr, inr_compact
 from ..functions.normalize import cp_similarity, norm_counterparty, norm_reference, ref_similarity, shape_of
 from ..operators import blocking, ranking
-from ..session import materialize
+from ..session import materialize, new_path
 from ..sinks import audit, export, reviews
 from ..sources import csv_ledger, ingest
 from ..sources.derived import ledger, raw_ledger
@@ -113,6 +113,32 @@ def csv_accept_reject(spark, sf):
     return parsed.select(F.col("line").cast("long").alias("line"), "external_id", text(F.col("amount_minor"), "amount_minor"), "currency", text(F.unix_seconds("value_date"), "value_epoch"), "reference", "reject_reason")
 
 
+FOLDER_LINES = """
+select o_orderkey, o_orderkey % 3 as shard, concat('UP', cast(floor(o_orderkey / 8) as bigint), ',', case when o_orderkey % 11 = 3 then '12.5' else cast(cast(round(o_totalprice * 100) as bigint) as varchar(20)) end, ',INR,',
+  cast(cast(o_orderdate as date) as varchar(10)), ',R', cast(o_orderkey as varchar(20)), ',', o_orderstatus) as text from orders
+"""
+FOLDER_SQL = f"""
+with lines as ({FOLDER_LINES.replace("cast(floor(o_orderkey / 8) as bigint)", "cast(floor(o_orderkey / 8) as bigint)::varchar")}),
+numbered as (select *, row_number() over (partition by shard order by o_orderkey) + 1 as line from lines),
+sizes as (select shard, count(*) + 1 as n from lines group by shard),
+placed as (select numbered.*, line + coalesce((select sum(n) from sizes where sizes.shard < numbered.shard), 0) as ord from numbered)
+select ord::bigint as ord, string_split(text, ',')[1] as external_id, string_split(text, ',')[2]::bigint as amount_minor, string_split(text, ',')[5] as reference,
+  row_number() over (partition by string_split(text, ',')[1] order by ord) > 1 as redelivered from placed where string_split(text, ',')[2] <> '12.5'"""
+
+
+@query("csv_folder", FOLDER_SQL)
+def csv_folder(spark, sf):
+    """Orders written as three CSV files and read back: order and redelivery go over all files."""
+    path = new_path(spark, "csv")
+    lines = spark.sql(FOLDER_LINES.replace("from orders", "from {orders}"), orders=spark.read.parquet(f"{sf}/orders.parquet"))
+    heads = lines.select("shard").distinct().select(F.lit(None).cast("long").alias("o_orderkey"), "shard", F.lit(CSV_HEADER).alias("text"))
+    # One file for each shard, so one task writes it; reading splits it again.
+    lines.select(F.col("o_orderkey").cast("long"), "shard", "text").union(heads).repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("o_orderkey")).select("shard", "text").write.partitionBy("shard").text(path)
+    good, _ = csv_ledger.read_files(spark, path, CSV_HEADER, "ORDER")
+    marked = ingest.mark_duplicates(good)
+    return marked.select("ord", "external_id", "amount_minor", "reference", F.col("duplicate_of_id").isNotNull().alias("redelivered"))
+
+
 @query("dedup_mark", o.q(o.RECORDS, "select id, kind, external_id, duplicate_of_id from rec"))
 def dedup_mark(spark, sf):
     return ledger(spark, sf).select("id", "kind", "external_id", "duplicate_of_id")
@@ -407,6 +433,16 @@ def open_exceptions(spark, sf):
     return reviews.with_reviews(rows, made).where("resolved_by_review_id is null").select("exception_id", "kind")
 
 
+@query("open_at_risk", o.q(GROUPS, """
+select count(*)::bigint as exceptions, coalesce(sum(amount_at_risk_minor), 0)::bigint as at_risk_minor, count(*) filter (where kind <> 'MISSING_COUNTERPART')::bigint as open_exceptions,
+  coalesce(sum(amount_at_risk_minor) filter (where kind <> 'MISSING_COUNTERPART'), 0)::bigint as open_at_risk_minor from exc"""))
+def open_at_risk(spark, sf):
+    """Money at risk with every missing counterpart reviewed twice."""
+    rows = run(spark, sf).exceptions
+    made = rows.where("kind = 'MISSING_COUNTERPART'").select("exception_id")
+    return views.at_risk(rows, made.union(made))
+
+
 @query("exception_export", o.q(GROUPS, """
 select e.exception_id, e.kind, e.amount_at_risk_minor, printf('%.4f', e.confidence) as engine_confidence, s.kind as record_source, s.external_id as record_external_id, coalesce(s.reference, '') as record_reference,
   strftime(s.value_date, '%Y-%m-%d') as record_value_date, coalesce((select string_agg(r.external_id, ' | ' order by i) from (select unnest(string_split(e.recommended_ids, ',')) as x, generate_subscripts(string_split(e.recommended_ids, ','), 1) as i) u join rec r on r.id = u.x), '') as recommended_external_ids

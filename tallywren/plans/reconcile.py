@@ -77,7 +77,7 @@ class Run:
     @cached_property
     def pairs(self) -> DataFrame:
         """Scored candidate pairs with the features and the first shared block."""
-        found = blocking.candidate_pairs(self.matchable, self.options)
+        found = blocking.candidate_pairs(self.matchable, self.options, exact=self.baseline)
         return materialize(ranking.score_pairs(blocking.with_records(found, self.matchable), self.thresholds, self.baseline), "pairs")
 
     @cached_property
@@ -85,7 +85,8 @@ class Run:
         first = ranking.ranked(ranking.both_ways(self.pairs))
         if self.strategy != "fuzzy+adjudicator":
             return first
-        return ranking.adjudicated(first, self.thresholds, self.options, self.adjudicator)
+        moved = ranking.adjudicated(first, self.thresholds, self.options, self.adjudicator)
+        return moved if self.adjudicator is None else materialize(moved, "ranks")  # so that no one is asked twice
 
     @cached_property
     def decisions(self) -> DataFrame:
@@ -110,7 +111,8 @@ class Run:
         """``match_id`` and the record of each member of a group of two or more."""
         size = self.components.groupBy("comp").agg(F.count("*").alias("n")).where("n >= 2").select("comp")
         match_id = F.concat(F.lit("mch_"), F.lpad(F.col("comp").cast("string"), 14, "0"))
-        return self.components.join(size, "comp").join(self.decisions, "ord").select(match_id.alias("match_id"), "ord", "id", "kind", "amount_minor", "decided_by", "confidence", "adjudicated", "features", "rationale")
+        rows = self.components.join(size, "comp").join(self.decisions, "ord")
+        return materialize(rows.select(match_id.alias("match_id"), "ord", "id", "kind", "amount_minor", "decided_by", "confidence", "adjudicated", "features", "rationale"), "members")
 
     @cached_property
     def matches(self) -> DataFrame:
@@ -132,7 +134,8 @@ class Run:
 
     @cached_property
     def left_over(self) -> DataFrame:
-        return self.decisions.join(self.members.select("id"), "id", "left_anti")
+        """Decisions on the records of no group, of which exceptions and unresolved records are made."""
+        return materialize(self.decisions.join(self.members.select("id"), "id", "left_anti"), "left_over")
 
     @cached_property
     def exceptions(self) -> DataFrame:
@@ -166,10 +169,11 @@ class Run:
         n, pairs, matches, exceptions = self.matchable.count(), self.pairs.count(), self.matches.count(), self.exceptions.count()
         unresolved, put = self.unresolved.count(), self.decisions.where("adjudicated").count()
         seconds = max(time.time() - began, 1e-9)
+        fell = self.ranks.where("fell_back").select("s_id").distinct().count() if "fell_back" in self.ranks.columns else 0
         used = "none" if self.strategy != "fuzzy+adjudicator" else "custom" if self.adjudicator else "deterministic"
         return {
             "run_id": self.run_id, "label": self.label or self.strategy, "strategy": self.strategy, "adjudicator": used, "thresholds": self.thresholds.as_map(), "record_count": n, "candidate_count": pairs,
-            "match_count": matches, "matched_records": self.members.count(), "exception_count": exceptions, "unresolved_count": unresolved, "adjudicated_count": put,
+            "match_count": matches, "matched_records": self.members.count(), "exception_count": exceptions, "unresolved_count": unresolved, "adjudicated_count": put, "fell_back_count": fell,
             "duration_ms": round(seconds * 1000), "records_per_second": round(n / seconds, 2),
         }
 

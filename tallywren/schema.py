@@ -31,6 +31,9 @@ RECORD = T.StructType(
     ]
 )
 
+# Records as a service keeps them: normalised and marked.
+STORED = T.StructType([*(T.StructField(f.name, f.dataType) for f in RECORD), *(T.StructField(c, T.StringType()) for c in ("norm_ref", "norm_cp", "duplicate_of_id"))])
+
 # Bounds of the thresholds a caller may set.
 BOUNDS = {"resolve": (0, 1), "floor": (0, 1), "ambiguity_margin": (0, 1), "date_window_days": (0, 90), "fee_tolerance": (0, 0.5), "rounding_slack_minor": (0, 100_000)}
 

@@ -70,8 +70,20 @@ def chained(events: DataFrame, order: str, payload: str, partition: str | None =
     return events.withColumn("payload_hash", F.sha2(F.col(payload), 256)).withColumn("previous_hash", F.lag("payload_hash").over(w))
 
 
-def verify_chain(receipts: DataFrame, order: str = "sequence", partition: str | None = None) -> DataFrame:
-    """Adds ``actual_previous``, ``tampered`` and ``broken``. One chain is one order, so without a partition
-    the link check is a single task over three narrow columns."""
-    w = (W.partitionBy(partition) if partition else W.partitionBy()).orderBy(order)
-    return receipts.withColumn("actual_previous", F.lag("payload_hash").over(w)).withColumn("tampered", F.sha2(F.col("payload"), 256) != F.col("payload_hash")).withColumn("broken", ~F.col("previous_hash").eqNullSafe(F.col("actual_previous")))
+STRETCH = 1 << 16
+
+
+def verify_chain(receipts: DataFrame, order: str = "sequence", partition: str | None = None, stretch: int = STRETCH) -> DataFrame:
+    """Adds ``actual_previous``, ``tampered`` and ``broken``. A single chain is cut into stretches of its whole-numbered order,
+    each a task's; a stretch's first receipt follows the last one of the nearest stretch before, of which there is one row each."""
+    if partition:
+        linked = receipts.withColumn("actual_previous", F.lag("payload_hash").over(W.partitionBy(partition).orderBy(order)))
+    else:
+        rows = receipts.withColumn("_stretch", F.floor(F.col(order) / stretch))
+        ends = rows.groupBy("_stretch").agg(F.max_by("payload_hash", order).alias("_last"))
+        ends = ends.select("_stretch", F.lag("_last").over(W.orderBy("_stretch")).alias("_before"))
+        within = F.lag("payload_hash").over(W.partitionBy("_stretch").orderBy(order))
+        first = F.row_number().over(W.partitionBy("_stretch").orderBy(order)) == 1
+        linked = rows.withColumn("_within", within).withColumn("_first", first).join(ends, "_stretch").withColumn("actual_previous", F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_within")))
+        linked = linked.drop("_stretch", "_within", "_first", "_before")
+    return linked.withColumn("tampered", F.sha2(F.col("payload"), 256) != F.col("payload_hash")).withColumn("broken", ~F.col("previous_hash").eqNullSafe(F.col("actual_previous")))

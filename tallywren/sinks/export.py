@@ -52,21 +52,22 @@ def csv_lines(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("amount_at_risk_minor"), "exception_id").select(F.concat_ws(",", *(csv_cell(F.col(c)) for c in COLUMNS)).alias("value"))
 
 
+def csv_name(run: Run) -> str:
+    return f"exceptions-{run.run_id}.csv"
+
+
 def exceptions_csv(run: Run, reviews: DataFrame | None = None) -> tuple[str, str]:
-    """File name and body; the queue is for people, so it fits the driver. ``write_csv`` is for larger ones."""
+    """File name and body. The queue is for people; one that does not fit the driver goes through ``write_csv``."""
     body = [",".join(COLUMNS), *(r.value for r in csv_lines(exception_rows(run.exceptions, run.records, reviews)).collect())]
-    return f"exceptions-{run.run_id}.csv", EOL.join(body) + EOL
+    return csv_name(run), EOL.join(body) + EOL
 
 
 def write_csv(run: Run, path: str, reviews: DataFrame | None = None) -> None:
-    """The queue in a folder of files, each with the header's columns, in order from file to file."""
-    csv_lines(exception_rows(run.exceptions, run.records, reviews)).write.mode("overwrite").option("lineSep", EOL).text(path)
-
-
-def write_run(run: Run, path: str) -> None:
-    """Appends a run's tables, partitioned by run so that runs coexist."""
-    for name, df in (("matches", run.matches), ("exceptions", run.exceptions), ("candidates", run.candidate_sample())):
-        df.write.mode("append").partitionBy("run_id").parquet(f"{path}/{name}")
+    """The queue in a folder of files that make one CSV if they are joined in order of their names: the header is the first line of the first."""
+    rows = exception_rows(run.exceptions, run.records, reviews)
+    lines = rows.select(F.lit(1).alias("part"), F.col("amount_at_risk_minor").alias("minor"), "exception_id", F.concat_ws(",", *(csv_cell(F.col(c)) for c in COLUMNS)).alias("value"))
+    head = rows.sparkSession.createDataFrame([(0, None, None, ",".join(COLUMNS))], "part int, minor long, exception_id string, value string")
+    lines.union(head).orderBy("part", F.desc("minor"), "exception_id").select("value").write.mode("overwrite").option("lineSep", EOL).text(path)
 
 
 def _money(minor: int) -> str:
@@ -88,7 +89,7 @@ def report(run: Run, summary: dict, comparison: dict | None = None, reviews: Dat
     table = lambda head, rows: [f"| {' | '.join(head)} |", "|" + "|".join(["---", *["---:"] * (len(head) - 1)]) + "|", *(f"| {' | '.join(map(str, r))} |" for r in rows), ""]
     out = [
         "# Reconciliation report", "", f"**Run** `{run.run_id}` — {summary['label']}", "", f"Generated {(now or datetime.now(timezone.utc)):%Y-%m-%d %H:%M:%S} UTC.", "",
-        "## What still needs a person", "",
+        "## Open work", "",
         f"- **{summary['exception_count'] - seen} open exceptions**, holding **{_money(sum(k.amount for k in kinds))}**.",
         f"- {many} of them offer several candidates that cannot be told apart.", f"- {summary['unresolved_count']} records had no candidate worth offering.", "",
         "## Exceptions by kind", "", *table(["Kind", "Count", "Amount at risk"], [(f"`{k.kind}`", k.n, _money(k.amount)) for k in kinds]),

@@ -13,11 +13,17 @@ SCHEMA = "review_id string, exception_id string, outcome string, reviewer string
 
 
 class ReviewDesk:
-    def __init__(self, spark: SparkSession, exceptions: DataFrame, audit: AuditLog | None = None):
-        self.spark, self.exceptions, self.audit, self._rows = spark, exceptions, audit, []
+    """The reviews of one run's exceptions, kept in a store if one is given."""
+
+    def __init__(self, spark: SparkSession, exceptions: DataFrame, audit: AuditLog | None = None, store=None, run_id: str = ""):
+        self.spark, self.exceptions, self.audit, self.store, self.run_id, self._rows = spark, exceptions, audit, store, run_id, []
 
     def reviews(self) -> DataFrame:
-        return self.spark.createDataFrame(self._rows, SCHEMA)
+        if self.store is None:
+            return self.spark.createDataFrame(self._rows, SCHEMA)
+        rows = self.store.read("reviews").where(F.col("run_id") == self.run_id)
+        fields = "exception_id string, outcome string, reviewer string, note string"
+        return rows.select(F.col("id").alias("review_id"), F.from_json("body", fields).alias("b"), "sequence").select("review_id", "b.*", "sequence")
 
     def review(self, exception_id: str, outcome: str, reviewer: str, note: str = "") -> str:
         """Records one review: unknown exceptions and second reviews are errors."""
@@ -26,13 +32,17 @@ class ReviewDesk:
         found = self.exceptions.where(F.col("exception_id") == exception_id).limit(1).collect()
         if not found:
             raise LedgerError("EXCEPTION_NOT_FOUND", f"No exception {exception_id}.")
-        if any(r[1] == exception_id for r in self._rows):
+        if not self.reviews().where(F.col("exception_id") == exception_id).isEmpty():
             raise LedgerError("EXCEPTION_ALREADY_RESOLVED", f"{exception_id} has been reviewed.")
-        n = len(self._rows) + 1
-        self._rows.append((f"rev_{n:012d}", exception_id, outcome, reviewer, note, n))
+        if self.store is None:
+            n = len(self._rows) + 1
+            made = f"rev_{n:012d}"
+            self._rows.append((made, exception_id, outcome, reviewer, note, n))
+        else:
+            made = self.store.add("reviews", "rev", self.run_id, outcome, {"exception_id": exception_id, "outcome": outcome, "reviewer": reviewer, "note": note})
         if self.audit:
             self.audit.append("HUMAN_REVIEW", exception_id, {"exceptionId": exception_id, "outcome": outcome, "reviewer": reviewer, "amountAtRiskMinor": found[0].amount_at_risk_minor})
-        return self._rows[-1][0]
+        return made
 
     def state(self) -> DataFrame:
         return with_reviews(self.exceptions, self.reviews())

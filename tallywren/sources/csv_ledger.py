@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..errors import LedgerError
 from ..schema import KINDS
+from ..session import materialize
 
 # Columns and limits of the format.
 REQUIRED = ("external_id", "amount_minor", "currency", "value_date")
@@ -54,7 +55,7 @@ def parse_lines(lines: DataFrame, header: str, kind: str, lenient: bool = False)
     )
     raw = F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*(cell(c) for c in columns)))
     return rows.select(
-        "line", F.lit(kind).alias("kind"), cell("external_id").alias("external_id"), cell("reference").alias("reference"), amount.alias("amount_minor"), F.upper(cell("currency")).alias("currency"),
+        "line", *(c for c in ("file", "ord") if c in lines.columns), F.lit(kind).alias("kind"), cell("external_id").alias("external_id"), cell("reference").alias("reference"), amount.alias("amount_minor"), F.upper(cell("currency")).alias("currency"),
         F.coalesce(integer("fee_minor"), F.lit(0)).cast("long").alias("fee_minor"), F.coalesce(integer("tax_minor"), F.lit(0)).cast("long").alias("tax_minor"), cell("counterparty").alias("counterparty"),
         day.alias("occurred_at"), day.alias("value_date"), F.lit(None).cast("string").alias("truth_group_id"), raw.alias("raw"), reason.alias("reject_reason"),
     )
@@ -64,12 +65,12 @@ def parse_text(spark: SparkSession, text: str, kind: str, lenient: bool = False,
     """``(accepted, rejected)`` of one uploaded file. Limits are tested before parsing; rejected rows carry
     their physical line, or with ``compact_lines`` their number among the lines that are not blank."""
     if len(text.encode()) > MAX_BYTES:
-        raise LedgerError("INGEST_TOO_LARGE", f"The file exceeds {MAX_BYTES} bytes.")
+        raise LedgerError("INGEST_TOO_LARGE", f"An upload may hold {MAX_BYTES} bytes; this one is larger.")
     lines = [(i + 1, x.removesuffix("\r")) for i, x in enumerate(text.split("\n")) if x.strip()]
     if not lines:
-        raise LedgerError("INGEST_MALFORMED", "The file is empty.")
+        raise LedgerError("INGEST_MALFORMED", "Nothing but blank lines was uploaded.")
     if len(lines) - 1 > MAX_ROWS:
-        raise LedgerError("INGEST_TOO_LARGE", f"The file has more than {MAX_ROWS} rows.")
+        raise LedgerError("INGEST_TOO_LARGE", f"An upload may hold {MAX_ROWS} rows; this one has more.")
     check_header(lines[0][1])
     body = [(n + 2 if compact_lines else i, x) for n, (i, x) in enumerate(lines[1:])]
     parsed = parse_lines(spark.createDataFrame(body, "line long, text string"), lines[0][1], kind, lenient)
@@ -77,16 +78,40 @@ def parse_text(spark: SparkSession, text: str, kind: str, lenient: bool = False,
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
+    """Records of accepted lines. Their id names file and line, so that equal lines of several files are several records; their
+    order is the line, or ``ord`` where there are several files."""
     rows = parsed.where("reject_reason is null").drop("reject_reason")
-    key = F.concat_ws("|", "kind", "external_id", F.col("line").cast("string"))
-    return rows.withColumn("id", F.concat(F.lit("rec_"), F.substring(F.sha2(key, 256), 1, 20))).withColumnRenamed("line", "ord")
+    several = "file" in rows.columns
+    key = F.concat_ws("|", "kind", "external_id", *(["file"] if several else []), F.col("line").cast("string"))
+    rows = rows.withColumn("id", F.concat(F.lit("rec_"), F.substring(F.sha2(key, 256), 1, 20)))
+    return rows.drop("file", "line") if several else rows.withColumnRenamed("line", "ord")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, line, ord, text)`` of all files: the physical line within its file, and an order over all files by name.
+
+    A file is read in as many splits as it needs. Lines are numbered within their split by place, and splits by the
+    lines before them, of which there is one number each; so no file and no order is one task's.
+    """
+    text = spark.read.text(path).select(F.col("value").alias("text"), F.input_file_name().alias("file"), F.expr("input_file_block_start()").alias("split"), F.monotonically_increasing_id().alias("at"))
+    text = materialize(text, "lines")  # places must not change between the two reads
+    splits = text.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = lambda *by: F.coalesce(F.sum("n").over((W.partitionBy(*by) if by else W.partitionBy()).orderBy("file", "split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "split", "first", before("file").alias("in_file"), before().alias("in_all"))
+    own = F.col("at") - F.col("first") + 1
+    return text.join(splits, ["file", "split"]).select("file", (F.col("in_file") + own).alias("line"), (F.col("in_all") + own).alias("ord"), "text")
 
 
 def read_files(spark: SparkSession, path: str, header: str, kind: str, lenient: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Folders of large files with one known header: lines are read and parsed in parallel. Lines are numbered
-    within their file by their order of reading."""
-    text = spark.read.text(path).select(F.col("value").alias("text"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    lines = text.where((F.trim("text") != "") & (F.lower(F.regexp_replace("text", r"\s", "")) != ",".join(check_header(header))))
-    numbered = lines.withColumn("line", F.row_number().over(W.partitionBy("file").orderBy("at")).cast("long") + 1)
-    parsed = parse_lines(numbered, header, kind, lenient)
-    return accepted(parsed), parsed.where("reject_reason is not null").select("line", F.col("reject_reason").alias("reason"))
+    """Folders of large files with one known header, read and parsed in parallel: accepted records, whose order and ids are unique over
+    all files, and ``(file, line, reason)`` of the rest. A file that begins with another header is an error."""
+    lines = numbered_lines(spark, path).where(F.trim("text") != "")
+    firsts = lines.groupBy("file").agg(F.min(F.struct("line", "text")).alias("first"))
+    known = ",".join(check_header(header))
+    same = F.array_join(F.transform(F.split(F.lower("first.text"), ","), lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")), ",") == known
+    other = firsts.where(~same).limit(1).collect()
+    if other:
+        raise LedgerError("INGEST_MALFORMED", f"{other[0].file} begins with another header.", found=other[0].first.text)
+    body = lines.join(firsts.select("file", F.col("first.line").alias("head")), "file").where("line > head").drop("head")
+    parsed = parse_lines(body, header, kind, lenient)
+    return accepted(parsed), parsed.where("reject_reason is not null").select("file", "line", F.col("reject_reason").alias("reason"))

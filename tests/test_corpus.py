@@ -4,14 +4,20 @@ import pytest
 
 from tallywren.errors import LedgerError
 from tallywren.plans import evaluate as ev
+from tallywren.plans import scenarios
 from tallywren.plans.reconcile import Run
 from tallywren.service import LedgerService
 from tallywren.sources.corpus import Corpus
 
 
 @pytest.fixture(scope="module")
-def service(spark):
-    s = LedgerService(spark)
+def store(tmp_path_factory):
+    return str(tmp_path_factory.mktemp("store"))
+
+
+@pytest.fixture(scope="module")
+def service(spark, store):
+    s = LedgerService(spark, store)
     made = s.ingest_generated()
     assert made["inserted"] == 736 and made["duplicates"] == 8
     s.reconcile("baseline-exact")
@@ -82,6 +88,117 @@ def test_reviews_audit_and_exports(service):
     assert service.health()["records"] == 736
 
 
+def test_service_goes_on_after_a_restart(spark, service, store, compared):
+    if service.reviews().isEmpty():
+        service.review(service.exception_queue(limit=1).first().exception_id, "APPROVED", "ana")
+    again = LedgerService(spark, store)
+    assert [r["run_id"] for r in again.runs()] == [r["run_id"] for r in service.runs()] and len(again.runs(1)) == 1
+    run, summary = again.run(baseline=False)
+    assert summary == service.run(baseline=False)[1] and run.matches.count() == summary["match_count"] and run.exceptions.count() == summary["exception_count"]
+    one = service.exception_queue(limit=1).first().exception_id
+    with pytest.raises(LedgerError) as err:
+        again.review(again.latest_reviews()[0]["exception_id"], "REJECTED", "bo")
+    assert err.value.code == "EXCEPTION_ALREADY_RESOLVED" and one == again.exception_queue(limit=1).first().exception_id
+    assert again.reviews().count() == service.reviews().count() and again.latest_reviews()[0]["reviewer"] == "ana"
+    assert again.latest_evaluations(1)[0]["system"] == compared["system"] and again.cases(again.latest_evaluations(1)[0]["id"]).count() == compared["system"]["false_pairs"]
+    assert again.evaluate(with_baseline=False)["f1"] == compared["system"]["f1"]
+    money = again.at_risk()
+    assert money["open_exceptions"] == money["exceptions"] - again.reviews().count() and money["open_at_risk_minor"] < money["at_risk_minor"]
+    assert again.receipts().first().sequence == again.audit.receipts().count() and again.audit.verify()["intact"]
+    assert again.match(run.matches.first().match_id).count() > 1
+
+
+@pytest.mark.parametrize("name", scenarios.NAMES)
+def test_scenarios(service, name):
+    out = service.demo(name)
+    assert out["passed"], out
+
+
+def test_unknown_scenario(service):
+    with pytest.raises(LedgerError):
+        service.demo("perpetual-motion")
+
+
+def test_csv_folder_is_the_csv(service, tmp_path):
+    import os
+
+    folder = str(tmp_path / "queue")
+    assert service.export("csv", folder=folder)[1] == folder
+    body = "".join(open(f"{folder}/{f}", newline="").read() for f in sorted(os.listdir(folder)) if f.startswith("part-"))
+    assert body == service.export("csv")[1]
+
+
+def test_logs_are_json(capsys):
+    import io
+    import json
+    import logging
+
+    from tallywren.logs import JsonLines, event
+
+    out = io.StringIO()
+    log, handler = logging.getLogger("tallywren-test"), logging.StreamHandler(out)
+    handler.setFormatter(JsonLines())
+    log.addHandler(handler)
+    event(log, "upload_complete", logging.WARNING, inserted=3)
+    line = json.loads(out.getvalue())
+    assert (line["event"], line["level"], line["inserted"]) == ("upload_complete", "warning", 3) and line["timestamp"].endswith("+00:00")
+
+
+def test_model_adjudicator(spark, service):
+    """Valid answers move scores; late, broken and invented ones fall back to the rules, and are counted."""
+    import json
+    import re
+    import time
+
+    from tallywren.operators.ranking import checked_answer, model_adjudicator
+
+    def same(text):
+        return json.dumps({"chosen": re.search(r"candidate 1: id=(\S+)", text)[1], "adjustment": 5, "rationale": "first"})
+
+    def odd(text):
+        n = sum(map(ord, re.search(r"record: id=(\S+)", text)[1])) % 5
+        if n == 0:
+            time.sleep(1.5)
+        return ["late", "no json", json.dumps({"chosen": "invented", "adjustment": 0.1, "rationale": ""}), json.dumps({"chosen": None, "adjustment": 0.1, "rationale": "unclear"}), same(text)][n]
+
+    assert checked_answer('so: {"chosen": "a", "adjustment": 0.1, "rationale": "x"} ok', {"a"}) == ("a", 0.1)
+    for bad in ("", "{}", '{"chosen": "b", "adjustment": 0, "rationale": ""}', '{"chosen": "a", "adjustment": "x", "rationale": ""}', '{"chosen": "a", "adjustment": NaN, "rationale": ""}', '{"chosen": "a", "adjustment": 0}', "[1]"):
+        with pytest.raises(LedgerError) as err:
+            checked_answer(bad, {"a"})
+        assert err.value.code == "ADJUDICATOR_MALFORMED_OUTPUT"
+    put = service.run(baseline=False)[1]["adjudicated_count"]
+    good = Run(service.records, adjudicator=model_adjudicator(same))
+    asked = good.ranks.where("adjudicated and applied <> 0")
+    assert good.summary()["fell_back_count"] == 0 and asked.where("applied <> 0.12").isEmpty() and asked.count() == put > 0
+    mixed = Run(service.records, adjudicator=model_adjudicator(odd, 0.5))
+    n = mixed.ranks.where("fell_back").select("s_id").distinct().count()
+    assert 0 < n < put and mixed.ranks.where("fell_back").join(service.run(baseline=False)[0].ranks.selectExpr("s_id", "c_id", "applied as ruled"), ["s_id", "c_id"]).where("applied <> ruled").isEmpty()
+
+
+def test_two_answers_on_one_pair(service):
+    from pyspark.sql import functions as F
+
+    def twice(rows):
+        one = rows.where("rank = 1").select("s_id", "c_id")
+        return one.withColumn("adjustment", F.lit(0.1)).union(one.withColumn("adjustment", F.lit(-0.02)))
+
+    run = Run(service.records, adjudicator=twice)
+    assert run.ranks.count() == 2 * run.pairs.count() and {r.applied for r in run.ranks.where("applied <> 0").collect()} == {-0.02}
+
+
+def test_chain_over_stretches(spark):
+    """Stretches of any width, with gaps between them, give what one window gives."""
+    from pyspark.sql import functions as F
+
+    from tallywren.sinks.audit import chained, verify_chain
+
+    rows = chained(spark.range(100).select(F.col("id").alias("sequence"), F.concat(F.lit("p"), "id").alias("payload")), "sequence", "payload").where("sequence not in (30, 31, 50) and sequence not between 60 and 79")
+    want = {30 + 2, 51, 80}
+    for width in (1, 7, 1000):
+        assert {r.sequence for r in verify_chain(rows, stretch=width).where("broken").collect()} == want
+    assert verify_chain(rows.limit(0)).count() == 0
+
+
 def test_tampering_is_found(spark):
     from tallywren.sinks.audit import SCHEMA, AuditLog, payload_hash, verify_chain
 

@@ -41,10 +41,46 @@ def test_uploads_drop_redelivered_rows(spark):
 
 
 def test_files(spark, tmp_path):
+    """Equal rows of two files are two records, of which the later is marked; partners on equal lines still meet."""
+    from tallywren.operators import blocking
+    from tallywren.sources import ingest
+
+    (tmp_path / "a.csv").write_text(HEAD + "\n" + GOOD + GOOD.replace("900001", "900002"))
+    (tmp_path / "b.csv").write_text(HEAD.upper() + GOOD + "X,R,1,INR,never,X\r\n" + HEAD)
+    good, bad = csv_ledger.read_files(spark, str(tmp_path), HEAD.strip(), "BANK_STATEMENT")
+    rows = sorted((r.ord, r.external_id) for r in good.collect())
+    assert rows == [(3, "BK900001"), (4, "BK900002"), (6, "BK900001")] and good.select("id").distinct().count() == 3
+    assert sorted((r.file[-5:], r.line, r.reason) for r in bad.collect()) == [("b.csv", 3, csv_ledger.REASONS[2]), ("b.csv", 4, csv_ledger.REASONS[1])]
+    assert [r.ord for r in ingest.mark_duplicates(good).where("duplicate_of_id is not null").collect()] == [6]
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "o.csv").write_text(HEAD + "ORD1,RZP1,120000,INR,2026-07-01,Blue Tokai\n")
+    orders, _ = csv_ledger.read_files(spark, str(tmp_path / "other"), HEAD.strip(), "ORDER")
+    both = ingest.normalized(orders.unionByName(good.withColumn("ord", good.ord + 100)))
+    assert blocking.candidate_pairs(both).count() > 0
+    (tmp_path / "c.csv").write_text("some,other,header\n" + GOOD)
+    with pytest.raises(LedgerError):
+        csv_ledger.read_files(spark, str(tmp_path), HEAD.strip(), "ORDER")
+
+
+def test_large_file_is_split(spark, tmp_path):
+    (tmp_path / "big.csv").write_text(HEAD + "".join(GOOD.replace("900001", f"{i:06d}") for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        good, _ = csv_ledger.read_files(spark, str(tmp_path), HEAD.strip(), "ORDER")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        assert sorted((r.ord, r.external_id) for r in good.select("ord", "external_id").collect()) == [(i + 2, f"BK{i:06d}") for i in range(5000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_folder_upload(spark, tmp_path):
     (tmp_path / "a.csv").write_text(HEAD + GOOD)
     (tmp_path / "b.csv").write_text(HEAD + GOOD + "X,R,1,INR,never,X\n")
-    good, bad = csv_ledger.read_files(spark, str(tmp_path), HEAD.strip(), "BANK_STATEMENT")
-    assert good.count() == 2 and bad.count() == 1
+    s = LedgerService(spark)
+    assert s.ingest_folder(str(tmp_path), HEAD.strip(), "BANK_STATEMENT") == {"inserted": 1, "duplicates": 1, "rejected": 1}
 
 
 def test_errors():

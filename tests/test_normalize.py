@@ -55,3 +55,10 @@ def test_ids(spark):
 def test_no_python_on_rows(spark):
     df = spark.createDataFrame([("a", "b")], "a string, b string").select(ref_similarity("a", "b"), norm_reference("a"), F.lit(1))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kind_label(spark):
+    from tallywren.functions.normalize import kind_label
+
+    rows = spark.createDataFrame([("BANK_STATEMENT",), ("PG_PAYMENT",)], "kind string").select(kind_label("kind").alias("k"))
+    assert [r.k for r in rows.collect()] == ["bank statement", "pg payment"]

@@ -9,7 +9,6 @@ import pytest
 from tallywren.plans import catalog
 
 TABLES = [f[:-8] for f in os.listdir("/root/testdata/sf0.001") if f.endswith(".parquet")]
-SLOW = {"compare_baseline", "false_match_cases", "metrics_baseline", "open_exceptions", "group_size_hist", "confidence_hist"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +24,7 @@ def as_rows(df):
     return cols, sorted(tuple("NULL" if pd.isna(v) else repr(float(v)) if isinstance(v, float) else str(v) for v in r) for r in df[cols].itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, duck, sf, name):
     assert as_rows(catalog.QUERIES[name](spark, sf).toPandas()) == as_rows(duck.sql(catalog.ORACLE_SQL[name]).df())
 
