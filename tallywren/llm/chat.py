@@ -14,7 +14,7 @@ control string, and reading takes one away. A role's backslashes and line breaks
 and ``\\n``. The loss mask covers the assistants' texts, as spans of the formatted string.
 
 Defined cases: null texts and roles are empty, and a text of any length is formatted whole; a null conversation is a tree of its own;
-a null turn comes before all others; turns of equal number are ordered by role and by the SHA-256 of the text; repeated rows are turns of their own;
+a null turn comes before all others; turns of equal number are ordered by role and by the MD5 of the text; repeated rows are turns of their own;
 paths of equal score are ranked by leaf; an empty table gives the attack's conversation alone, and no trees give no rows; a node whose parent is missing is a root; parents in a
 circle are an error; other columns are passed by, whatever their names.
 """
@@ -79,7 +79,7 @@ def conversation_rows(conversations: DataFrame) -> DataFrame:
     """``tree, turn, role, text, key`` of the table's turns and the attack's; ``key`` is the text's digest with role and turn."""
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     attack = rows.sparkSession.createDataFrame([(-1, 0, "user", ATTACK), (-1, 1, LOSS_ROLE, ATTACK)], "conv_id long, turn long, role string, text string")
-    digest = F.struct("turn", "role", F.unhex(F.sha2("text", 256)).alias("text"))
+    digest = F.struct("turn", "role", F.unhex(F.md5("text")).alias("text"))
     return rows.union(attack).select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("tree"), digest.alias("key"), "role", "text")
 
 
@@ -235,9 +235,9 @@ e as (select *, length('<|im_start|>') + length('<|im_end|>') + 2
     + length(regexp_replace(replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), '<(\\*)\|', '<\1\\|', 'g'))
     + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) as chars from c)
 select conv_id, count(*)::bigint as n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, sha256(text))) as turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, md5(text))) as turns_sha256,
   coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, sha256(text)) filter (where role = 'assistant'), '')) as loss_sha256,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, md5(text)) filter (where role = 'assistant'), '')) as loss_sha256,
   sum(chars)::bigint as formatted_chars
 from e group by conv_id
 """

@@ -15,7 +15,7 @@ hash range that holds some of them, so that a frequent n-gram is one entry of ea
 Each range adds up its requests and answers each of them in the order asked. Chunks
 meet their answers by chunk number. Counts thus cover the whole corpus, grow with it, and
 never stand on one machine. There are as many ranges as keep each at ``RANGE_BYTES`` of keys or less, so a chunk sends no more
-messages than it has distinct n-grams, and the work grows with the tokens; with some 10,000 ranges and more (tens of TB) messages
+messages than it has distinct n-grams, and the work grows with the tokens; where ranges outnumber a chunk's n-grams (some TB of text) messages
 hold few keys each and the plan is that of a plain shuffle of n-grams. What comes to the driver is two totals and, for EM, a
 histogram of at most ``BUCKETS * (64 * GRID + 1) ** 2`` cells, in practice some thousands. Held-out training texts have chunks of their own, so that EM reads only them.
 
@@ -44,7 +44,7 @@ FOLDS, TEST, HELD = 10, 0, 1
 CHUNK = 1_500_000
 BUCKETS = 24
 GRID = 4  # steps to a factor of two in the EM histogram
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 16 << 20
 END = np.uint64(xxhash.xxh64_intdigest(b"\n end") & ~1)
 ROUNDS = 200
 PASSED, KEPT, OUT = 0, 1, 2  # parts: evaluation texts; training texts kept; training texts held out for EM
