@@ -92,11 +92,18 @@ class Group:
             for band, at in enumerate(row):
                 self.owners[at].append((band, t))
 
+        # Most values are told from those of the table by their last bits alone.
+        self.last = np.uint64((1 << (64 * len(self.values)).bit_length()) - 1)
+        self.maybe = np.zeros(int(self.last) + 1, bool)
+        self.maybe[(self.values & self.last).astype(np.int64)] = True
+
     def retrieved(self, lows: np.ndarray) -> set[tuple[int, int]]:
         """``(window, template)`` that share a band's value; ``lows`` is bands x windows."""
-        at = np.minimum(np.searchsorted(self.values, lows), len(self.values) - 1)
-        bands, windows = np.nonzero(self.values[at] == lows)
-        return {(w, t) for b, w in zip(bands.tolist(), windows.tolist()) for own, t in self.owners[at[b, w]] if own == b}
+        bands, windows = np.nonzero(self.maybe[(lows & self.last).view(np.int64)])
+        found = lows[bands, windows]
+        at = np.minimum(np.searchsorted(self.values, found), len(self.values) - 1)
+        same = np.flatnonzero(self.values[at] == found).tolist()
+        return {(int(windows[i]), t) for i in same for own, t in self.owners[at[i]] if own == bands[i]}
 
 
 class Scanner:
