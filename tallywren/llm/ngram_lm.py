@@ -41,7 +41,7 @@ from ..session import materialize
 from .common import as_bytes, blank_words, crc_mod, cut
 
 FOLDS, TEST, HELD = 10, 0, 1
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 BUCKETS = 24
 GRID = 4  # steps to a factor of two in the EM histogram
 RANGE_BYTES = 16 << 20
