@@ -89,9 +89,9 @@ def test_slots_decide(make, words):
 
 def test_mixed_keeps_documents(make, words, spark):
     rows = [(i, words(30), "ab"[i % 2]) for i in range(20)] + [(0, words(3), "a"), (50, None, "a")]
-    docs = make(rows).selectExpr("*", "1 as size", "2 as `odd name`", "3 as row", "4 as start")
+    docs = make(rows).selectExpr("*", "2 as `odd name`")
     out = mixing.mixed(docs).collect()
-    assert set(out[0].asDict()) == {*docs.columns, *mixing.OWN} and all(r.size == len(r.text.split()) and r.row == 3 for r in out)
+    assert set(out[0].asDict()) == {*docs.columns, *mixing.OWN} and all(r.size == len(r.text.split()) and rows[r.row][1] == r.text for r in out)
     want = {(r.doc_id, r.size, r.taken, r.first_slot) for r in mixing.mix(docs).collect() if r.taken}
     assert {(r.doc_id, r.size, r.taken, r.first_slot) for r in out} == want
 

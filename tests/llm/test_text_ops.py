@@ -174,19 +174,27 @@ def starred(words, rng, copies=40):
     return rows
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_near_groups_of_every_shape(make, words, monkeypatch, seed):
-    """Chains, stars and bridged clouds against brute force, with buckets counted as large from 2, 8 and 32 texts on."""
-    rng = random.Random(100 + seed)
-    rows = []
-    for part in (chained(words, rng), starred(words, rng), bridged(words, clouds=2, copies=18)):
-        rows += [(len(rows) + i, t) for i, (_, t) in enumerate(part)]
-    s = {i: shingles(t) for i, t in rows}
-    want = components(s, lambda a, b: len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b]))
-    for cell in (2, 8, 32):
-        monkeypatch.setattr(near_dedup, "CELL", cell)
-        got = {r.doc_id: r.group_id for r in near_dedup.groups(make(rows)).collect()}
-        assert got == want, cell
+@pytest.fixture(scope="module")
+def shapes(words):
+    """Six seeds' chains, stars and bridged clouds, whose words differ, and their groups by brute force."""
+    rows, want = [], {}
+    for seed in range(6):
+        rng, own = random.Random(100 + seed), []
+        for part in (chained(words, rng), starred(words, rng), bridged(words, clouds=2, copies=18)):
+            own += [(len(own) + i, " ".join(f"{w}v{seed}" for w in t.split())) for i, (_, t) in enumerate(part)]
+        s = {i: shingles(t) for i, t in own}
+        groups = components(s, lambda a, b: len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b]))  # noqa: B023
+        want |= {1000 * seed + i: 1000 * seed + g for i, g in groups.items()}
+        rows += [(1000 * seed + i, t) for i, t in own]
+    return rows, want
+
+
+@pytest.mark.parametrize("cell", [2, 8, 32])
+def test_near_groups_of_every_shape(make, shapes, monkeypatch, cell):
+    """Buckets counted as large from 2, 8 and 32 texts on."""
+    monkeypatch.setattr(near_dedup, "CELL", cell)
+    rows, want = shapes
+    assert {r.doc_id: r.group_id for r in near_dedup.groups(make(rows)).collect()} == want
 
 
 def test_near_hard_rows(hard, empty):
