@@ -35,10 +35,12 @@ def as_bytes(df: DataFrame, *columns: str, text: str = "text") -> DataFrame:
 
 
 def cut(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that Python objects of few texts exist at once."""
+    """Smaller batches, so that Python objects of few texts exist at once. A worker waits for its next task without
+    the buffers of this one."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def crc_mod(doc_id, mod: int) -> int:

@@ -234,13 +234,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     return found.select(*(F.col("carry").getField(c).alias(c) for c in carry), "n_words", "spans", "items", "text")
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, carry: tuple[str, ...]) -> DataFrame:
-    """``carry``, a struct of the columns, so that no name can clash, ``n_words``, ``spans``, ``items`` and ``text``."""
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, carry: tuple[str, ...], finish=None) -> DataFrame:
+    """``carry``, a struct of the columns, so that no name can clash, ``text``, ``n_words``, ``spans`` and ``items``; or ``carry`` and
+    ``text`` as ``finish`` makes them of a batch of these, in the same worker."""
     spark = docs.sparkSession
     kept = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("string")
     rows = as_bytes(docs.select(kept.alias("carry"), "text"), "carry")
     blocks = item_blocks(benchmark, window, block_words)
-    schema = T.StructType([*rows.schema, *FOUND])
+    schema = rows.schema if finish else T.StructType([*rows.schema, *FOUND])
+    finish = finish or (lambda batch: batch)
     if len(blocks) == 1:
         shared = spark.sparkContext.broadcast(_automaton(blocks[0], window))
 
@@ -248,9 +250,9 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int,
             automaton = shared.value
             for batch in cut(batches):
                 out = [(len(w), *automaton.scan(w)) for w in map(alnum_words, batch["text"].to_pylist())]
-                yield _with_found(batch, [n for n, _, _ in out], [[x for s in spans for x in s] for _, spans, _ in out], [sorted(names) for _, _, names in out])
+                yield finish(_with_found(batch, [n for n, _, _ in out], [[x for s in spans for x in s] for _, spans, _ in out], [sorted(names) for _, _, names in out]))
 
-        return rows.mapInArrow(scan, schema).select("carry", "n_words", "spans", "items", "text")
+        return rows.mapInArrow(scan, schema)
     texts = rows.select("text", F.md5("text").alias("key"))
     parts = [_block_hits(texts, block, window) for block in blocks]
     every = parts[0]
@@ -262,10 +264,10 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int,
         for batch in cut(batches):
             n = [len(alnum_words(t)) for t in batch["text"].to_pylist()]
             spans = [unite(zip(x[::2], x[1::2])) if x else [] for x in batch["spans"].to_pylist()]
-            yield _with_found(batch.select(["carry", "text"]), n, spans, [sorted(x or ()) for x in batch["items"].to_pylist()])
+            yield finish(_with_found(batch.select(["carry", "text"]), n, spans, [sorted(x or ()) for x in batch["items"].to_pylist()]))
 
     joined = rows.withColumn("key", F.md5("text")).join(merged, "key", "left").select("carry", "text", "spans", "items")
-    return joined.mapInArrow(unite_all, schema).select("carry", "n_words", "spans", "items", "text")
+    return joined.mapInArrow(unite_all, schema)
 
 
 def _with_found(batch: pa.RecordBatch, n: list[int], spans: list[list[int]], items: list[list[str]]) -> pa.RecordBatch:
@@ -332,21 +334,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     ``max_coverage`` goes altogether. Texts without hits stay byte for byte; a null text
     comes back empty."""
     columns = docs.columns
-    found = _hits(docs, benchmark, window, block_words, tuple(c for c in columns if c != "text"))
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(batches):
-            keep, texts = [], []
-            for i, (n, spans, text) in enumerate(zip(batch["n_words"].to_pylist(), batch["spans"].to_pylist(), batch["text"].to_pylist())):
-                hit = sum(spans[1::2]) - sum(spans[::2])
-                if hit and hit > max_coverage * n:
-                    continue
-                keep.append(i)
-                texts.append(_remove(text, spans) if hit else text)
-            kept = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept["carry"], pa.array(texts, pa.binary())], ["carry", "text"])
-
-    out = found.mapInArrow(clean, T.StructType([found.schema["carry"], found.schema["text"]]))
+    def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep, texts = [], []
+        for i, (n, spans, text) in enumerate(zip(batch["n_words"].to_pylist(), batch["spans"].to_pylist(), batch["text"].to_pylist())):
+            hit = sum(spans[1::2]) - sum(spans[::2])
+            if hit and hit > max_coverage * n:
+                continue
+            keep.append(i)
+            texts.append(_remove(text, spans) if hit else text)
+        return pa.RecordBatch.from_arrays([batch["carry"].take(pa.array(keep, pa.int64())), pa.array(texts, pa.binary())], ["carry", "text"])
+
+    out = _hits(docs, benchmark, window, block_words, tuple(c for c in columns if c != "text"), clean)
     return out.select(*(F.col("text").cast("string").alias("text") if c == "text" else F.col("carry").getField(c).alias(c) for c in columns))
 
 

@@ -234,7 +234,7 @@ def saturated(x: float) -> float:
 class TextScorer:
     """Features of a text under a matcher; words once looked up are remembered."""
 
-    LIMIT = 500_000
+    LIMIT = 100_000
 
     def __init__(self, matcher: FormMatcher):
         self.matcher, self.hits, self.seen = matcher, {}, set()
