@@ -209,9 +209,12 @@ def item_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = B
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(bodies, pa.binary()), pa.array(sizes, pa.int64())], ["item", "words", "n"])
 
     cols = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    rows = as_bytes(cols, "item").mapInArrow(pieces, "item string, words binary, n long").distinct().withColumn("h", F.xxhash64("item", "words"))
-    rows = materialize(rows, "items")
-    most, blocks = max(block_words, 2 * (size + window - 1)), 1
+    rows = as_bytes(cols, "item").mapInArrow(pieces, "item string, words binary, n long")
+    most, blocks = max(block_words, 2 * (size + window - 1)), 2
+    if (rows.agg(F.sum("n")).first()[0] or 0) <= most:
+        return [rows.select("item", "words")]
+    # Equal pieces would fall into one block however many there are.
+    rows = materialize(rows.distinct().withColumn("h", F.xxhash64("item", "words")), "items")
     while True:
         own = F.pmod("h", F.lit(blocks))
         if (rows.groupBy(own.alias("b")).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) <= most:
