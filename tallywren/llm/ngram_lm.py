@@ -156,7 +156,7 @@ def requests(rows: DataFrame, ranges: int) -> DataFrame:
     step = np.uint64(math.ceil(2**64 / ranges)) if ranges > 1 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches, 1):
             for chunk, part, blob in zip(*(batch[c].to_pylist() for c in ("chunk", "part", "body"))):
                 body = Body(blob)
                 own = np.zeros(len(body.keys), np.int64) if step is None else (body.keys // step).astype(np.int64)
@@ -173,13 +173,16 @@ def requests(rows: DataFrame, ranges: int) -> DataFrame:
 
 def _answer(table: pa.Table) -> pa.Table:
     """All requests of one range: counts of all training texts and of the kept ones, in the order asked."""
+    pa.default_memory_pool().release_unused()  # of the group before
     number = table["range"][0].as_py()
     asked = [_unpack(k, np.uint8, np.uint32) for k in table["keys"].to_pylist()]
     keys = [_unplanes(p) for p, _ in asked]
     parts = table["part"].to_pylist()
-    every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total, kept = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
     cuts = np.cumsum([0, *map(len, keys)])
+    keys = np.concatenate(keys)
+    every, place = np.unique(keys, return_inverse=True)
+    del keys
+    total, kept = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
     places = [place[a:b] for a, b in zip(cuts, cuts[1:])]
     for part, at, (_, counts) in zip(parts, places, asked):
         if part != PASSED:
@@ -202,6 +205,7 @@ def answers(asked: DataFrame) -> DataFrame:
 
 def _met(left: pa.Table, right: pa.Table, kept: bool = False):
     """A chunk's body and the count of each of its tokens' word, context and bigram."""
+    pa.default_memory_pool().release_unused()  # of the group before
     body = Body(left["body"][0].as_py())
     order = sorted(zip(right["range"].to_pylist(), right["kept" if kept else "counts"].to_pylist()))
     counts = np.concatenate([_unpack_counts(c) for _, c in order])
@@ -273,6 +277,7 @@ def scores(rows: DataFrame, found: DataFrame, weights: np.ndarray, n: int, v: in
         body, word, context, pair = _met(left, right)
         w = weights[buckets(context)]
         p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(n, 1) + w[:, 2] / (v + 1)
+        del w, pair, context
         if not n:
             p[:] = 1 / (v + 1)
         base = np.log10((word + 0.1) / (n + 0.1 * (v + 1)))
