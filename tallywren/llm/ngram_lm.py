@@ -41,10 +41,10 @@ from ..session import materialize
 from .common import as_bytes, blank_words, crc_mod, cut
 
 FOLDS, TEST, HELD = 10, 0, 1
-CHUNK = 1_000_000
+CHUNK = 500_000
 BUCKETS = 24
 GRID = 4  # steps to a factor of two in the EM histogram
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 4 << 20
 END = np.uint64(xxhash.xxh64_intdigest(b"\n end") & ~1)
 ROUNDS = 200
 PASSED, KEPT, OUT = 0, 1, 2  # parts: evaluation texts; training texts kept; training texts held out for EM
