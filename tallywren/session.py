@@ -51,12 +51,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+# A writer looks at the size of a page or a row group only after 100 rows; rows of megabytes would stand in memory until then.
+PACKED = {"compression": "none", "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
+
+
+def materialize(df: DataFrame, name: str = "step", packed: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends
-    here, so that a lost executor costs only the tasks after this point."""
+    here, so that a lost executor costs only the tasks after this point. ``packed`` rows are large and compressed already."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**(PACKED if packed else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
