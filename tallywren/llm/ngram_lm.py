@@ -309,11 +309,11 @@ def _totals(found: DataFrame) -> np.ndarray:
 def score_corpus(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Learns from the training folds of ``docs`` and scores every row."""
     spark = docs.sparkSession
-    rows = materialize(chunks(docs), "chunks")
+    rows = materialize(chunks(docs), "chunks", packed=True)
     tokens = rows.agg(F.sum("tokens")).first()[0] or 0
     # A word and a bigram of eight bytes for each token, at most.
     ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(16 * tokens / RANGE_BYTES))
-    found = materialize(answers(requests(rows, ranges)), "answers")
+    found = materialize(answers(requests(rows, ranges)), "answers", packed=True)
     n, v, kept_n, kept_v = map(int, _totals(found))
     cells = histogram(rows, found, kept_n).toPandas().to_numpy(np.int64).reshape(-1, 4)
     weights = learn_weights(cells, 1 / (kept_v + 1))
