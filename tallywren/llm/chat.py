@@ -4,7 +4,7 @@ Messages are nodes with a parent. Runs of single replies are first contracted: b
 doubling each node finds the head of its run and its distance from it, in as many
 self-joins as the logarithm of the longest run. Iterative self-joins of the runs then
 enumerate each leaf's path to the root. Paths are ranked within their tree by the sum of their
-messages' scores, and each chosen path is formatted as one conversation. Only ids, scores and digests go through the
+messages' scores, and each chosen path is formatted as one conversation. Only ids, scores and keys go through the
 self-joins, of which each writes only the nodes that it moved. Where no tree branches, texts are shuffled once, beside
 their places in the conversations; where some do, texts join the paths by node, so that a tree's paths are spread over tasks.
 
@@ -76,18 +76,17 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 
 
 def conversation_rows(conversations: DataFrame) -> DataFrame:
-    """``tree, turn, role, text, key`` of the table's turns and the attack's; ``key`` is the text's digest with role and turn."""
+    """``tree, key, role, text`` of the table's turns and the attack's; ``key`` is the turn's number and role."""
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     attack = rows.sparkSession.createDataFrame([(-1, 0, "user", ATTACK), (-1, 1, LOSS_ROLE, ATTACK)], "conv_id long, turn long, role string, text string")
-    digest = F.struct("turn", "role", F.unhex(F.md5("text")).alias("text"))
-    return rows.union(attack).select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("tree"), digest.alias("key"), "role", "text")
+    return rows.union(attack).select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("tree"), F.struct("turn", "role").alias("key"), "role", "text")
 
 
 def conversation_nodes(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A table of turns as trees without branches: nodes ``tree, node, parent, score, key`` and texts
     ``tree, key, role, text``."""
     rows = conversation_rows(conversations)
-    numbered = rows.select("tree", "key", F.row_number().over(W.partitionBy("tree").orderBy("key.turn", "key.role", "key.text")).cast("long").alias("node"))
+    numbered = rows.select("tree", "key", F.row_number().over(W.partitionBy("tree").orderBy("key.turn", "key.role")).cast("long").alias("node"))
     return numbered.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "key"), rows
 
 
@@ -162,7 +161,8 @@ def chosen(found: DataFrame, best: int | None = None) -> DataFrame:
 
 def conversations(nodes: DataFrame, best: int | None = None, texts: DataFrame | None = None) -> DataFrame:
     """``tree, leaf, rank, score, turns``: each chosen path with its ordered ``(role, text)``. The texts are the nodes' own, or
-    rows ``tree, key, role, text`` for nodes with a ``key``, of which equal ones have equal texts."""
+    rows ``tree, key, role, text`` for nodes with a ``key``. Texts of one key go, by their MD5, to its nodes in the path's order, which takes
+    trees without branches; in others a key names one text."""
     if texts is None:
         own = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
         texts, nodes = nodes.select("tree", F.col("node").alias("key"), own("role"), own("text")), nodes.withColumn("key", F.col("node"))
@@ -178,7 +178,9 @@ def conversations(nodes: DataFrame, best: int | None = None, texts: DataFrame |
     if pick.groupBy("tree").count().where("count > 1").isEmpty():
         none = lambda c, df: F.lit(None).cast(df.schema[c].dataType).alias(c)
         both = texts.select("tree", "key", "role", "text", none("at", places)).union(places.select("tree", "key", none("role", texts), none("text", texts), "at")).repartition("tree")
-        lines = both.groupBy("tree", "key").agg(F.max("role").alias("role"), F.max("text").alias("text"), F.collect_list("at").alias("at")).select("tree", "role", "text", F.explode("at").alias("at"))
+        said = F.when(F.col("text").isNotNull(), F.struct(F.md5("text").alias("digest"), "role", "text"))
+        dealt = both.groupBy("tree", "key").agg(F.array_sort(F.collect_list(said)).alias("said"), F.array_sort(F.collect_list("at")).alias("at"))
+        lines = dealt.select("tree", F.explode(F.arrays_zip("said", "at")).alias("z")).where("z.at is not null").select("tree", "z.said.role", "z.said.text", "z.at")
     else:
         lines = texts.dropDuplicates(["tree", "key"]).join(places, ["tree", "key"])
     turn = F.struct("at.a", "at.b", "role", "text")
