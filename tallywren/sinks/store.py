@@ -77,4 +77,5 @@ class Store:
         """Gives a run its stored tables instead of computing them."""
         for name in ("matches", "members", "exceptions", "unresolved"):
             run.__dict__[name] = self.run_table(name, run.run_id)
+        run.__dict__["membership"], run.__dict__["match_heads"] = run.members, run.matches
         return run
