@@ -52,13 +52,13 @@ def test_matchable_needs_no_table_of_all_columns(records):
 
 @pytest.mark.parametrize("strategy", ["fuzzy+adjudicator", "baseline-exact"])
 def test_closed_references_are_decided_as_in_the_general_plan(spark, monkeypatch, strategy):
-    some = derived.ledger(spark, "/root/testdata/sf0.01", 1200).cache()
+    some = derived.ledger(spark, "/root/testdata/sf0.01", 3000).cache()
     whole = Run(some, strategy)
     assert whole.divided is None
     monkeypatch.setattr(reconcile, "CLOSED_FROM", 0)
     cut = Run(some, strategy)
     rest, own = cut.divided
-    assert rest.matchable.count() > 100 and own.count() > 100 and own.where("size = 1 and best is not null").count() > 0
+    assert rest.matchable.count() > 1000 and own.count() > 1000 and own.where("size = 1 and best is not null").count() > 0
     columns = whole.left_over.columns
     assert rows(cut.left_over, *columns) == rows(whole.left_over, *columns)
     for name in ("membership", "match_heads", "exceptions", "placed"):
