@@ -64,3 +64,18 @@ def test_closed_references_are_decided_as_in_the_general_plan(spark, monkeypatch
     for name in ("membership", "match_heads", "exceptions", "placed"):
         a, b = getattr(cut, name), getattr(whole, name)
         assert a.columns == b.columns and rows(a, *a.columns) == rows(b, *b.columns), name
+
+
+def test_exceptions_need_no_table_of_groups(spark, monkeypatch):
+    some = derived.ledger(spark, "/root/testdata/sf0.01", 2000).drop("truth_group_id").cache()
+    whole = Run(some)
+    assert whole.divided_lone is None
+    columns = whole.left_over.columns
+    left, seen = rows(whole.left_over, *columns), rows(whole.exception_rows, *whole.exception_rows.columns)
+    monkeypatch.setattr(reconcile, "CLOSED_FROM", 0)
+    monkeypatch.setattr(reconcile, "PART_RECORDS", 3000)
+    cut = Run(some)
+    rest, lone = cut.divided_lone
+    assert cut.matchable.count() >= 6000 and lone.count() > 100 and lone.where("size > 1 or record_ids is not null").isEmpty()
+    assert rows(cut.left_over, *columns) == left and rows(cut.exception_rows, *cut.exception_rows.columns) == seen
+    assert "divided" not in vars(cut)
