@@ -1,11 +1,14 @@
 """What keeps the ledger plans within a disk: parts, slim tables, and the same results from them as from the whole."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallywren.operators import blocking
 from tallywren.plans import reconcile
 from tallywren.plans.reconcile import Run
+from tallywren.session import materialize_parts
 from tallywren.sources import derived, ingest
 
 
@@ -79,3 +82,17 @@ def test_exceptions_need_no_table_of_groups(spark, monkeypatch):
     assert cut.matchable.count() >= 6000 and lone.count() > 100 and lone.where("size > 1 or record_ids is not null").isEmpty()
     assert rows(cut.left_over, *columns) == left and rows(cut.exception_rows, *cut.exception_rows.columns) == seen
     assert "divided" not in vars(cut)
+
+
+def test_a_part_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {path for path in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in path}
+
+    before = shuffled()
+    materialize_parts(spark, (spark.range(1000).repartition("id") for _ in range(2)), "freed")
+    until = time.time() + 8
+    while time.time() < until and shuffled() - before:
+        time.sleep(0.2)
+    assert shuffled() - before == set()
